@@ -1,0 +1,4 @@
+"""Queries bound to the driver's tables, with their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
