@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_fst, token_binary, url_filter
+from . import mixing, sentencepiece_fst, token_binary, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
     "op8_token_binary": token_binary.op8_token_binary,
+    "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op1_url_filter": url_filter.OP1_SQL}
