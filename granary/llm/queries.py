@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sentencepiece_fst, token_binary, toxicity, url_filter
+from . import line_dedup, mixing, sentencepiece_fst, token_binary, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
     "op8_token_binary": token_binary.op8_token_binary,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op1_url_filter": url_filter.OP1_SQL}
+ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op3_line_dedup": line_dedup.OP3_SQL}
