@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sentencepiece_fst, token_binary, toxicity, url_filter
+from . import line_dedup, mixing, near_dedup, sentencepiece_fst, token_binary, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_token_binary": token_binary.op8_token_binary,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_toxicity": toxicity.op10_toxicity,
