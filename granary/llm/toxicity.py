@@ -91,7 +91,7 @@ def fit_nnpu(P: list[np.ndarray], U: list[np.ndarray], size: int, prior: float,
             part = []
             for docs, o in zip((P, U), order):
                 chosen = [docs[i] for i in o[k::BATCHES]]
-                n = np.array([len(f) for f in chosen])
+                n = np.array([len(f) for f in chosen], dtype=np.int64)
                 row, col = np.repeat(np.arange(len(chosen)), n), np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
                 scale = 1 / np.sqrt(np.maximum(n, 1))
                 z = np.bincount(row, weights=w[col], minlength=len(chosen)) * scale + b
