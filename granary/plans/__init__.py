@@ -1,0 +1,6 @@
+"""Queries bound to the driver's tables."""
+
+from . import domain, relational  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
