@@ -109,3 +109,44 @@ def deadline_action(now: float, stop_at: float, drain_at: float, stopping: bool,
     if now >= drain_at and not productive:
         return "interrupt"
     return "stop" if now >= stop_at and not stopping else None
+
+
+def window_ids(placed_: DataFrame, id_col: str) -> DataFrame:
+    """(n, digest) of the ids completed in the window, in order of id, each with its length before it."""
+    from ..functions.text import framed
+
+    ids = placed_.where("place = 'window' AND event = 'completed'").select(F.col(id_col).cast("string").alias("i"))
+    return ids.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("i")), lambda i: framed(i)), ""), 256).alias("digest"))
+
+
+class Phases:
+    """Wall and CPU seconds of named phases of a job."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+
+    def __call__(self, name: str, **counts):
+        import time
+        from contextlib import contextmanager
+
+        @contextmanager
+        def phase():
+            row = {"phase": name, **counts}
+            wall, cpu = time.perf_counter(), time.process_time()
+            try:
+                yield row
+            finally:
+                row |= {"wall": time.perf_counter() - wall, "cpu": time.process_time() - cpu}
+                self.rows.append(row)
+
+        return phase()
+
+
+def backoff(attempt: int, base: float = 0.05, most: float = 2.0) -> float:
+    """Seconds to wait before a further try, without the random part."""
+    return min(base * 2**attempt, most)
+
+
+def revision(scope: str, compiled) -> str:
+    """Scope and minute of compilation."""
+    return f"{scope}-{compiled:%Y%m%d.%H%M}"
