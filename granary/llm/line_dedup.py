@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, ROW, checkpointed, packed, row_key, table
+from .common import KEY, ROW, checkpointed, packed, row_key, rows_of, table
 
 #: Lines shorter than this have to be equal to count as repeated.
 NEAR_CHARS = 24
@@ -16,27 +17,64 @@ WINDOWS = 4
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones(1, dtype=np.uint64)
+_powers = {_BASE: np.ones(1, dtype=np.uint64), _INVERSE: np.ones(1, dtype=np.uint64)}
+_K = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)]
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    if len(_powers[base]) < n:
         with np.errstate(over="ignore"):
-            _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 4096), _BASE, dtype=np.uint64))])
-    return _powers[:n]
+            _powers[base] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 4096), base, dtype=np.uint64))])
+    return _powers[base][:n]
+
+
+def _sums(points: np.ndarray) -> np.ndarray:
+    """Prefix sums of character k times BASE^k, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([[np.uint64(0)], np.cumsum((points + np.uint64(1)) * powers(_BASE, len(points)), dtype=np.uint64)])
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
 def neighbourhood(text: str, start: int, stop: int) -> tuple[int, np.ndarray]:
     """Hash of the text, and hashes of the text without its character i for i from start to stop."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        p = np.concatenate([[np.uint64(0)], np.cumsum(c * powers(len(c)), dtype=np.uint64)])
-        return int(p[-1].view(np.int64)), (p[start:stop] + (p[-1] - p[start + 1 : stop + 1]) * _INVERSE).view(np.int64)
+        p = _sums(_points(text))
+        return int(p[-1:].view(np.int64)[0]), (p[start:stop] + (p[-1] - p[start + 1 : stop + 1]) * _INVERSE).view(np.int64)
+
+
+def window_keys(texts: list[str], near_chars: int) -> tuple[np.ndarray, ...]:
+    """(text number, key, longer, a, b): what each text has outside of each window, hashed.
+
+    As the shorter of a pair a text of n characters is cut into WINDOWS windows
+    a to b; as the longer one, of n + 1 characters, it has one more character in
+    the window. All texts are hashed in one go, by differences of prefix sums.
+    """
+    m = np.array([len(t) for t in texts], dtype=np.int64)
+    at = np.concatenate([[0], np.cumsum(m)])
+    p = _sums(_points("".join(texts)))
+    back = powers(_INVERSE, len(p))
+    rows, keys, roles, starts, stops = [], [], [], [], []
+    with np.errstate(over="ignore"):
+        for longer in (0, 1):
+            row = np.flatnonzero(m - longer >= near_chars)
+            n, s, e = m[row] - longer, at[row], at[row + 1]
+            for j in range(WINDOWS):
+                a, b = n * j // WINDOWS, n * (j + 1) // WINDOWS
+                head, cut = (p[s + a] - p[s]) * back[s], e - (n - b)
+                tail = (p[e] - p[cut]) * back[cut]
+                key = (head * _K[0] ^ tail) * _K[1] + (n * WINDOWS + j).astype(np.uint64) * _K[2]
+                key = (key ^ (key >> np.uint64(32))) * _K[0]
+                for out, x in zip((rows, keys, roles, starts, stops), (row, key.view(np.int64), np.full(len(row), longer), a, b)):
+                    out.append(x)
+    return tuple(np.concatenate(x) for x in (rows, keys, roles, starts, stops))
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\s\x{00a0}]+", " ")))
+    rare = line.rlike(r"[\t\x0B\f\r\x{00a0}]|  ")
+    return F.lower(F.trim(F.when(rare, F.regexp_replace(line, r"[\s\x{00a0}]+", " ")).otherwise(line)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,23 +88,11 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.select(F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2"), F.struct("nodoc", "d", "k", "pos").alias("o"), "t")
 
 
-def _window_keys(t: Column, near_chars: int) -> Column:
-    """For each window of the line as the shorter of a pair (n = its length) and as the longer one (n = length - 1): hash of what lies outside."""
-    m = F.length(t)
-    out = []
-    for longer in (0, 1):
-        n = m - longer
-        for j in range(WINDOWS):
-            a, b = F.floor(n * j / WINDOWS).cast("int"), F.floor(n * (j + 1) / WINDOWS).cast("int")
-            key = F.xxhash64(n, F.lit(j), F.substring(t, F.lit(1), a), F.substring(t, m - n + b + 1, n - b))
-            out.append(F.when(n >= near_chars, F.struct(key.alias("key"), F.lit(longer).alias("longer"), a.alias("a"), b.alias("b"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
-
-
 def matches(docs: DataFrame, id_col: str, text_col: str, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(h1, h2, partner): distinct lines with an earlier line at edit distance one, and where the earliest such line first stands.
 
-    All lines meet by their hash, once. A pair at distance one agrees outside
+    All lines meet by their hash, once (of two lines that shared 64 bits of it,
+    one would be looked at here). A pair at distance one agrees outside
     one of four windows, so lines that agree with no other there have no
     neighbour and leave. The rest emit their whole deletion neighbourhood in
     that window: a line without its character i, keyed with i, is shared by
@@ -76,47 +102,51 @@ def matches(docs: DataFrame, id_col: str, text_col: str, near_chars: int = NEAR_
     earliest member decides and no list of pairs is made, however many lines
     share a key. Pairs are then verified by their real edit distance.
     """
-    spread = _hashed(lines_of(docs, id_col, text_col)).repartition("h1")
-    distinct = spread.groupBy("h1", "h2").agg(F.min("o").alias("o"), F.first("t").alias("t"))
-    keyed = distinct.where(F.length("t") >= near_chars).select("h1", "h2", F.explode(_window_keys(F.col("t"), near_chars)).alias("w"))
-    shared = keyed.select("h1", "h2", "w.*").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    windows = shared.groupBy("h1", "h2").agg(F.collect_set(F.struct("longer", "a", "b")).alias("ws"))
-    near = checkpointed(windows.join(distinct, ["h1", "h2"]).select("h1", "h2", "o", "t", "ws"))
+    hashed = _hashed(lines_of(docs, id_col, text_col))
+    # the text of each distinct line moves once, after equal lines of a task have been made one
+    distinct = hashed.groupBy("h1").agg(F.min(F.struct("h2", "o", "t")).alias("x"))
+
+    def keys(batches):
+        for batch in rows_of(batches, 2_000):
+            row, key, *_ = window_keys(batch.column(1).to_pylist(), near_chars)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key)], names=["h1", "key"])
+
+    lines = distinct.select("h1", "x").where("x.o IS NOT NULL AND x.h2 IS NOT NULL")
+    keyed = lines.where(F.length("x.t") >= near_chars).select("h1", "x.t").mapInArrow(keys, "h1 long, key long")
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    windows = shared.groupBy("h1").agg(F.collect_set("key").alias("keys"))
+    near = checkpointed(windows.join(lines, "h1").select("h1", "x.h2", "x.o", "x.t", "keys"))
 
     def emit(frames):
         for f in frames:
             for at in range(0, len(f), 64):
-                out = {"row": [], "kind": [], "v": []}
                 part = f.iloc[at : at + 64]
-                for row, (t, ws) in enumerate(zip(part["t"], part["ws"])):
-                    m = len(t)
-                    center = False
-                    for w in ws:
-                        a, b, longer = w["a"], w["b"], w["longer"]
-                        n = m - longer
-                        whole, gone = neighbourhood(t, a, b + longer)
-                        i = np.arange(a, b + longer, dtype=np.int64)
-                        with np.errstate(over="ignore"):
-                            if longer:
-                                v = np.unique(gone * np.int64(31) + np.int64(n))
-                                kind = 2
-                            else:
-                                v = (gone * np.int64(31) + np.int64(n)) * np.int64(1_000_003) + i
-                                kind = 0
-                        out["v"].append(v)
-                        out["row"].append(np.full(len(v), row))
-                        out["kind"].append(np.full(len(v), kind, dtype=np.int32))
-                        if not longer and not center:
-                            center = True
-                            with np.errstate(over="ignore"):
-                                out["v"].append(np.array([whole], dtype=np.int64) * np.int64(31) + np.int64(n))
-                            out["row"].append(np.array([row]))
-                            out["kind"].append(np.array([1], dtype=np.int32))
-                if out["row"]:
-                    rows = np.concatenate(out["row"])
-                    yield pd.DataFrame({"v": np.concatenate(out["v"]), "kind": np.concatenate(out["kind"]), "h1": part["h1"].to_numpy()[rows], "h2": part["h2"].to_numpy()[rows]})
-
-    emitted = near.select("h1", "h2", "t", "ws").mapInPandas(emit, "v long, kind int, h1 long, h2 long").dropDuplicates()
+                texts, met = part["t"].tolist(), [set(x) for x in part["keys"]]
+                rows, kinds, vs, centers = [], [], [], set()
+                for row, key, longer, a, b in zip(*[x.tolist() for x in window_keys(texts, near_chars)]):
+                    if key not in met[row]:
+                        continue
+                    n = np.int64(len(texts[row]) - longer)
+                    whole, gone = neighbourhood(texts[row], a, b + longer)
+                    with np.errstate(over="ignore"):
+                        v = gone * np.int64(31) + n
+                        if longer:
+                            v = np.unique(v)
+                        else:
+                            v = v * np.int64(1_000_003) + np.arange(a, b)
+                        found = [(v, 2 if longer else 0)]
+                        if not longer and row not in centers:
+                            centers.add(row)
+                            found.append((np.array([whole]) * np.int64(31) + n, 1))
+                    for v, kind in found:
+                        vs.append(v)
+                        rows.append(np.full(len(v), row))
+                        kinds.append(np.full(len(v), kind, dtype=np.int32))
+                if rows:
+                    row = np.concatenate(rows)
+                    yield pd.DataFrame({"v": np.concatenate(vs), "kind": np.concatenate(kinds), "h1": part["h1"].to_numpy()[row], "h2": part["h2"].to_numpy()[row]})
+
+    emitted = near.select("h1", "h2", "t", "keys").mapInPandas(emit, "v long, kind int, h1 long, h2 long").dropDuplicates()
     group = Window.partitionBy("v", F.col("kind") > 0)
     crowded = emitted.withColumn("n", F.count("*").over(group)).where("n > 1").drop("n")
     placed = crowded.join(near.select("h1", "h2", "o"), ["h1", "h2"])
@@ -137,8 +167,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(nodoc, d, k, pos, kept): lines to remove, and the earlier line that stays for them."""
     found = matches(docs, id_col, text_col, near_chars)
     every = _hashed(lines_of(docs, id_col, text_col)).select("h1", "h2", "o")
-    first = every.withColumn("first", F.min("o").over(Window.partitionBy("h1", "h2")))
-    joined = first.join(found, ["h1", "h2"], "left")
+    # a line that stands in very many places is grouped by partial sums and joined with skew handling
+    first = every.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.count("*").alias("n"))
+    changed = first.join(found, ["h1", "h2"], "left").where("n > 1 OR partner IS NOT NULL")
+    joined = every.join(changed, ["h1", "h2"])
     return joined.where("partner IS NOT NULL OR first < o").select("o.*", F.coalesce("partner", "first").alias("kept"))
 
 
