@@ -80,7 +80,8 @@ def fit_nnpu(P: list[np.ndarray], U: list[np.ndarray], size: int, prior: float,
     With the logistic loss l(z) = log(1 + e^-z) the risk is
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]): unlabelled
     documents count as clean, less the share of toxic ones among them. Where the
-    bracket falls below zero in a batch, the step climbs out of it instead.
+    bracket falls below zero in a batch, the step climbs out of it instead. All
+    features kept speak for toxicity, so weights stay at zero or above.
     """
     rng = np.random.default_rng(seed)
     w, b, g2, gb2 = np.zeros(size), 0.0, np.full(size, 1e-6), 1e-6
@@ -106,7 +107,7 @@ def fit_nnpu(P: list[np.ndarray], U: list[np.ndarray], size: int, prior: float,
             gb = dp.sum() + du.sum()
             g2 += g * g
             gb2 += gb * gb
-            w -= STEP * g / np.sqrt(g2)
+            w = np.maximum(w - STEP * g / np.sqrt(g2), 0.0)
             b -= STEP * gb / np.sqrt(gb2)
     return w, b
 
