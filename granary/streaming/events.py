@@ -95,13 +95,25 @@ def leases(events: DataFrame, lease: float = 60.0, most: int = 3) -> DataFrame:
     if slim.isStreaming:
         return slim.groupBy("batch").applyInPandasWithState(update, LEASE_OUT, LEASE_STATE, "update", GroupStateTimeout.NoTimeout)
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        now = ("queued", None, 0.0, 0)
-        for e in f.sort_values(["t", "kind", "token"]).to_dict("records"):
-            now = lease_step(now, e, lease, most)
-        return pd.DataFrame({"batch": [f["batch"].iloc[0]], "state": [now[0]], "token": [now[1]], "tries": [now[3]]})
-
-    return slim.groupBy("batch").applyInPandas(fold, LEASE_OUT)
+    # a table's events are folded by the same rules inside the JVM, with no Python call for each batch
+    in_order = F.sort_array(F.collect_list(F.struct("t", "kind", "token")))
+    start = F.struct(F.lit("queued").alias("state"), F.lit(None).cast("string").alias("token"), F.lit(0.0).alias("until"), F.lit(0).alias("tries"))
+
+    def step(s: Column, e: Column) -> Column:
+        over = (s["state"] == "leased") & (e["t"] >= s["until"])
+        name, token = F.when(over, "queued").otherwise(s["state"]), F.when(~over, s["token"])
+        claim = (e["kind"] == "claim") & (name == "queued")
+        own = (name == "leased") & F.coalesce(e["token"] == token, F.lit(False)) & e["kind"].isin("complete", "release", "fail")
+        after = F.when(e["kind"] == "complete", "done").when((e["kind"] == "fail") & (s["tries"] >= most), "split").otherwise("queued")
+        return F.struct(
+            F.when(claim, "leased").when(own, after).otherwise(name).alias("state"),
+            F.when(claim, e["token"]).when(~own, token).alias("token"),
+            F.when(claim, e["t"] + lease).when(own, 0.0).otherwise(s["until"]).alias("until"),
+            (s["tries"] + F.when(claim, 1).when(own & (e["kind"] == "release"), -1).otherwise(0)).alias("tries"),
+        )
+
+    folded = slim.groupBy("batch").agg(F.aggregate(in_order, start, step).alias("s"))
+    return folded.select("batch", "s.state", "s.token", "s.tries")
 
 
 def deadline_action(now: float, stop_at: float, drain_at: float, stopping: bool, productive: bool) -> str | None:

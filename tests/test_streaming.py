@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from granary.streaming import events as E
@@ -86,3 +87,10 @@ def test_deadlines():
     assert E.deadline_action(15, 10, 20, True, False) is None
     assert E.deadline_action(20, 10, 20, True, False) == "interrupt"
     assert E.deadline_action(20, 10, 20, True, True) is None
+
+
+def test_folded_leases_equal_step_by_step(spark):
+    rng = random.Random(8)
+    rows = [(f"b{rng.randrange(40)}", rng.choice(["claim", "claim", "complete", "fail", "release"]), rng.choice(["w1", "w2"]), float(k * 7 % 400)) for k in range(400)]
+    df = spark.createDataFrame(rows, "batch string, kind string, token string, t double")
+    assert {r.batch: (r.state, r.token, r.tries) for r in E.leases(df).collect()} == leases_of(rows)
