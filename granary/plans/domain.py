@@ -85,18 +85,18 @@ def classify_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", validate.leaf_class(F.col("text"), F.col("source"), F.col("lang")).alias("class"))
 
 
-@query("SELECT lang, list_sort(list_distinct(flatten(list(regexp_extract_all(text, '[A-Z]{3,}'))))) AS tokens FROM documents WHERE regexp_matches(text, '[A-Z]{3,}') GROUP BY 1")
+@query("SELECT lang, array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(text, '[A-Z]{3,}'))))), ' ') AS tokens FROM documents WHERE regexp_matches(text, '[A-Z]{3,}') GROUP BY 1")
 def token_array_merge(t: Tables) -> DataFrame:
     """Acronyms of each language, merged."""
-    return t.documents.select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Z]{3,}"), 0)).alias("x")).groupBy("lang").agg(F.sort_array(F.collect_set("x")).alias("tokens"))
+    return t.documents.select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Z]{3,}"), 0)).alias("x")).groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("x")), " ").alias("tokens"))
 
 
 @query(r"""
-SELECT doc_id, regexp_extract_all(text, 'https?://[^\s)\]>"'']+') AS links, len(regexp_extract_all(text, '\d+(?:[.,:/-]\d+)*')) AS numbers FROM documents WHERE doc_id % 7 = 0
+SELECT doc_id, array_to_string(regexp_extract_all(text, 'https?://[^\s)\]>"'']+'), ' ') AS links, len(regexp_extract_all(text, '\d+(?:[.,:/-]\d+)*')) AS numbers FROM documents WHERE doc_id % 7 = 0
 """)
 def protected_parts(t: Tables) -> DataFrame:
     d = t.documents.where("doc_id % 7 = 0")
-    return d.select("doc_id", F.regexp_extract_all("text", F.lit(X.PROTECTED[0]), 0).alias("links"), F.size(F.regexp_extract_all("text", F.lit(X.PROTECTED[3]), 0)).alias("numbers"))
+    return d.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(X.PROTECTED[0]), 0), " ").alias("links"), F.size(F.regexp_extract_all("text", F.lit(X.PROTECTED[3]), 0)).alias("numbers"))
 
 
 @query("""
@@ -216,11 +216,11 @@ def tree_features(t: Tables) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT DISTINCT p_type AS word, p_brand AS e FROM part WHERE p_size < 10), t AS (SELECT word, list_sort(list(e)) AS targets FROM s GROUP BY 1)
-SELECT word, CASE WHEN len(targets) = 1 THEN 'redirect' ELSE 'choices' END AS kind, targets FROM t
+SELECT word, CASE WHEN len(targets) = 1 THEN 'redirect' ELSE 'choices' END AS kind, array_to_string(targets, ' ') AS targets FROM t
 """)
 def redirect_disambiguation(t: Tables) -> DataFrame:
     s = t.part.where("p_size < 10").select(F.col("p_type").alias("word"), F.col("p_brand").alias("expression")).distinct()
-    return export.redirects(s, t.part.select(F.col("p_brand").alias("expression")).distinct())
+    return export.redirects(s, t.part.select(F.col("p_brand").alias("expression")).distinct()).withColumn("targets", F.array_join("targets", " "))
 
 
 @query("""

@@ -300,12 +300,12 @@ def running_offset(t: Tables) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT event_type, h, n - lag(n) OVER w AS delta, CAST(date_diff('hour', lag(h) OVER w, h) AS BIGINT) AS hours FROM s WINDOW w AS (PARTITION BY event_type ORDER BY h)
+SELECT event_type, strftime(h, '%Y-%m-%d %H') AS hour, n - lag(n) OVER w AS delta, CAST(date_diff('hour', lag(h) OVER w, h) AS BIGINT) AS hours FROM s WINDOW w AS (PARTITION BY event_type ORDER BY h)
 """)
 def rate_between_samples(t: Tables) -> DataFrame:
     s = t.events.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("event_type").orderBy("h")
-    return s.select("event_type", "h", (F.col("n") - F.lag("n").over(w)).alias("delta"), F.expr("(unix_seconds(cast(h as timestamp)) - unix_seconds(cast(lag(h) over (partition by event_type order by h) as timestamp))) div 3600").alias("hours"))
+    return s.select("event_type", F.date_format("h", "yyyy-MM-dd HH").alias("hour"), (F.col("n") - F.lag("n").over(w)).alias("delta"), F.expr("(unix_seconds(cast(h as timestamp)) - unix_seconds(cast(lag(h) over (partition by event_type order by h) as timestamp))) div 3600").alias("hours"))
 
 
 @query("""
