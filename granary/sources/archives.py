@@ -10,7 +10,6 @@ import io
 import json
 import re
 import sqlite3
-import tempfile
 import zipfile
 
 import pandas as pd
@@ -113,18 +112,16 @@ def read_notes(spark: SparkSession, path: str, required: list[str]) -> DataFrame
                     data = z.read(member)
                 if member.endswith("b"):
                     data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-                with tempfile.NamedTemporaryFile(suffix=".db") as t:  # scratch of one task, gone with it
-                    t.write(data)
-                    t.flush()
-                    db = sqlite3.connect(t.name)
-                    models = json.loads(db.execute("SELECT models FROM col").fetchone()[0])
-                    rows = []
-                    for note, model, fields in db.execute("SELECT id, mid, flds FROM notes ORDER BY id"):
-                        names = [x["name"] for x in models[str(model)]["flds"]]
-                        values = dict(zip(names, [v.strip() for v in fields.split("\x1f")] + [""] * len(names)))
-                        if all(values.get(r) for r in required):
-                            rows.append((name, note, values))
-                    db.close()
+                db = sqlite3.connect(":memory:")
+                db.deserialize(data)
+                models = json.loads(db.execute("SELECT models FROM col").fetchone()[0])
+                rows = []
+                for note, model, fields in db.execute("SELECT id, mid, flds FROM notes ORDER BY id"):
+                    names = [x["name"] for x in models[str(model)]["flds"]]
+                    values = dict(zip(names, [v.strip() for v in fields.split("\x1f")] + [""] * len(names)))
+                    if all(values.get(r) for r in required):
+                        rows.append((name, note, values))
+                db.close()
                 yield pd.DataFrame(rows, columns=["archive", "note_id", "fields"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, note_id long, fields map<string,string>")
