@@ -118,7 +118,7 @@ def choose_cut(zp: np.ndarray, zu: np.ndarray) -> float:
     cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
     cuts = cuts[order[1:] > order[:-1]] if len(order) > 1 else cuts
     if not len(cuts):
-        return float(order[0]) - 1.0 if len(order) else 0.0
+        return float(order[0]) + 1.0 if len(order) else 0.0
     sp, su = np.sort(zp), np.sort(zu)
     recall = 1 - np.searchsorted(sp, cuts) / len(sp)
     share = (1 - np.searchsorted(su, cuts) / len(su)) + 0.5 / len(su)
@@ -141,7 +141,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     w, b = fit_nnpu(P, U, len(kept), prior)
     if len(positive) < 8 or len(unlabelled) < 8:
         zp, zu = margins(P, w, b), margins(U, w, b)
-    return dict(zip(kept.tolist(), w.tolist())) | {BIAS: b, CUT: choose_cut(zp, zu)}
+    # a document without any kept feature is never toxic
+    return dict(zip(kept.tolist(), w.tolist())) | {BIAS: b, CUT: max(choose_cut(zp, zu), b + 1e-6)}
 
 
 def _order(df: DataFrame, id_col: str) -> Column:

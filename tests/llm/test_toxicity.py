@@ -48,11 +48,20 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     assert X.toxicity(df.limit(0), labels).count() == 0
 
 
-def test_risk_is_not_driven_below_zero():
-    """With every unlabelled document equal to the positive ones, the classifier doesn't call all of them clean."""
+def test_nothing_is_toxic_where_nothing_tells_toxic_documents_apart(spark):
     P = [X.features("zork mild tone")] * 20
-    w = X.train(P, P, 0.5)
-    assert set(w) >= {X.BIAS, X.CUT}
+    assert X.scorer(X.train(P, P, 0.5))("zork mild tone") < 0
+    docs = spark.createDataFrame([(i, "the same text") for i in range(4)], "doc_id long, text string")
+    assert X.toxicity(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).where("toxic = 1").count() == 0
+
+
+def test_step_climbs_out_of_a_negative_risk():
+    """Where the unlabelled risk less the toxic share falls below zero, weights don't run away: the margin of toxic documents stays bounded."""
+    import numpy as np
+
+    P, U = [np.array([0])] * 40, [np.array([0])] * 4 + [np.array([], dtype=np.int64)] * 36
+    w, b = X.fit_nnpu(P, U, 1, 0.3)
+    assert 0 <= w[0] < 12 and w[0] + b > b
 
 
 def test_cut_maximises_recall_squared_over_share():
