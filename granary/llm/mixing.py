@@ -156,7 +156,8 @@ def slots(spark: SparkSession, totals: Mapping[str, int], weights=None, alpha: f
     inside = Window.partitionBy("source", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.groupBy("source", "part").agg(F.sum("c").alias("m")).select("source", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("o"))
-    placed = counts.withColumn("i", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(parts, ["source", "part"])
+    # sizes guessed from spark.range don't tell what comes out of Python, so both joins of the plan are told to merge
+    placed = counts.withColumn("i", F.coalesce(F.sum("c").over(inside), F.lit(0))).hint("merge").join(parts, ["source", "part"])
     # where a source's slots begin in its shard before they are permuted
     in_shard = Window.partitionBy("shard").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("shard", "source", "c", (F.col("o") + F.col("i")).alias("o"), F.coalesce(F.sum("c").over(in_shard), F.lit(0)).alias("w"))
@@ -195,7 +196,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     body = blocks(docs, id_col, text_col, source_col, lang_col, block_tokens, seed)
     plan = slots(docs.sparkSession, totals, weights, alpha, shard_slots, n_slots, seed)
     # blocks are already laid out by (source, block): only the slots, a few numbers each, move for this join
-    mixed = plan.join(body, ["source", "block"])
+    mixed = plan.hint("merge").join(body, ["source", "block"])
     return mixed.select("shard", "slot", F.when(F.col("source") != NULL_SOURCE, F.col("source")).alias("source"), "block", "doc_id", "lang", "n_tokens", "text")
 
 
