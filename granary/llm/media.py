@@ -103,7 +103,7 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ks, pa.int64()), pa.array(ns, pa.int32()), pa.array(ds, pa.binary()), pa.array(ss, pa.int32())], names=["i", "k", "seq", "digest", "size"]
             )
 
-    refs = there.select("i", "k", "p").mapInArrow(cut, T.StructType([T.StructField("i", kind), T.StructField("k", T.LongType()), *_CHUNK.fields])).dropDuplicates(["digest", "k", "seq"])
+    refs = there.select("i", "k", "p").mapInArrow(cut, T.StructType([T.StructField("i", kind), T.StructField("k", T.LongType()), *_CHUNK.fields])).repartition("digest").dropDuplicates(["digest", "k", "seq"])
     users = Window.partitionBy("digest")
     owned = refs.withColumns({"owner": F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k", "seq")).over(users), "uses": F.count("*").over(users)})
     owned = owned.select("k", "seq", "digest", "size", (F.col("owner.k").eqNullSafe(F.col("k")) & (F.col("owner.seq") == F.col("seq"))).alias("own"), (F.col("uses") > 1).alias("shared"))
@@ -122,7 +122,7 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
         z, d = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
             digests, bodies = [], []
-            for packed, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for packed, chunks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 p, at = d.decompress(packed), 0
                 for c in chunks or ():
                     if c["own"] and c["shared"]:
@@ -131,9 +131,10 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
                     at += c["size"]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], names=["digest", "body"])
 
-    served = placed.select("z", "list").mapInArrow(serve, "digest binary, body binary")
-    wanted = owned.where("NOT own").select("k", "seq", "digest")
-    foreign = wanted.join(served, "digest").groupBy("k").agg(F.collect_list(F.struct("seq", "body")).alias("foreign"))
+    # both uses of ``placed``, and both of ``owned``, take the same columns, so that each is shuffled once and read twice
+    served = placed.select("i", "z", "list").mapInArrow(serve, "digest binary, body binary")
+    wanted = owned.where("NOT own AND shared").select("k", "seq", "digest", "size")
+    foreign = wanted.join(served, "digest").groupBy("k").agg(F.collect_list(F.struct("seq", "body", "size")).alias("foreign"))
     joined = placed.join(foreign, "k", "left").select("i", "z", "list", "foreign")
     out = T.StructType(
         [
