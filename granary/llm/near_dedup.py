@@ -181,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(d, v, g): id, text hash and group of each document whose group has more than one member.
+    """(d, v, kd, kv): id and text hash of each document whose group has more than one member, and of the one that stays.
 
     Exact copies share a text hash, and each distinct text is one vertex. The
     members of a band's bucket are verified against its least member first; what
@@ -246,12 +246,10 @@ def near_pairs(docs: DataFrame, id_col: str, text_col: str, threshold: float = T
     if not second.isEmpty():
         labels = components(linked.union(second))
     groups = signed.select("d", "v").distinct().join(labels, "v", "left").select("d", "v", F.coalesce("label", "v").alias("g"))
-    return groups.withColumn("n", F.count("*").over(Window.partitionBy("g"))).where("n > 1").drop("n")
-
-
-def _kept(groups: DataFrame) -> DataFrame:
-    first = F.min(F.struct(F.col("d").isNull().alias("nodoc"), "d", "v")).over(Window.partitionBy("g"))
-    return groups.withColumn("first", first).select("d", "v", F.col("first.d").alias("kd"), F.col("first.v").alias("kv"))
+    # partial sums and a join, not a window: a group of very many copies isn't one task's work
+    first = F.min(F.struct(F.col("d").isNull().alias("nodoc"), "d", "v"))
+    sizes = groups.groupBy("g").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
+    return groups.join(sizes, "g").select("d", "v", F.col("first.d").alias("kd"), F.col("first.v").alias("kv"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -264,13 +262,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and text count as one; rows that share an id but not the text are different
     documents. Columns other than the id and the text are ignored.
     """
-    k = _kept(near_pairs(docs, id_col, text_col, threshold))
+    k = near_pairs(docs, id_col, text_col, threshold)
     return k.where("NOT (d <=> kd AND v = kv)").select(F.col("d").alias(id_col), F.col("kd").alias(f"kept_{id_col}"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each group left; of rows alike in id and text, unless it has no word, one is left too."""
-    k = _kept(near_pairs(docs, id_col, text_col, threshold)).where("NOT (d <=> kd AND v = kv)").select(F.col("d").alias("gd"), F.col("v").alias("gv"))
+    k = near_pairs(docs, id_col, text_col, threshold).where("NOT (d <=> kd AND v = kv)").select(F.col("d").alias("gd"), F.col("v").alias("gv"))
     whole = packed(docs, **{KEY: F.xxhash64(docs[text_col].cast("string")), "__id": docs[id_col], "__bare": F.coalesce(~docs[text_col].cast("string").rlike(r"[\p{L}\p{N}]"), F.lit(True))})
     left = whole.join(k, (F.col(KEY) == F.col("gv")) & F.col("__id").eqNullSafe(F.col("gd")), "left_anti")
     left = left.withColumn("__n", F.row_number().over(Window.partitionBy(KEY, "__id").orderBy("__bare"))).where("__bare OR __n = 1")
