@@ -18,7 +18,7 @@ BLOCK = 8_192
 #: Queries that read a block's lists together.
 QUERIES = 256
 #: Entries first read from each list; doubled while some outsider may still qualify.
-DEPTH = 128
+DEPTH = 512
 DIGITS = 6
 
 
@@ -44,34 +44,35 @@ def nra(parts: list[np.ndarray], k: int, depth: int = DEPTH) -> tuple[np.ndarray
         rows, cols = np.divmod(np.arange(q * n), n)
         return rows, cols, n
     slack = 2 * 10.0**-DIGITS
-    ends = [p.min(axis=1) for p in parts]
+    ends = np.stack([p.min(axis=1) for p in parts])
     open_ = np.arange(q)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     reached = 0
     while len(open_):
         d = min(depth, n)
         reached = max(reached, d)
-        lower, last, seen = np.zeros((len(open_), n)), np.zeros(len(open_)), np.zeros((len(open_), n), dtype=np.uint8)
-        gap = np.zeros((len(open_), n))
+        ids, above_end, above_last, last = [], [], [], np.zeros(len(open_))
         for p, end in zip(parts, ends):
             s = p[open_]
             top = np.argpartition(s, n - d, axis=1)[:, n - d :] if d < n else np.broadcast_to(np.arange(n), s.shape)
             values = np.take_along_axis(s, top, 1)
             t = values.min(axis=1)
-            # not read here: at least the list's end, at most the last score read
-            low = np.repeat(end[open_][:, None], n, 1)
-            room = np.repeat((t - end[open_])[:, None], n, 1)
-            np.put_along_axis(low, top, values, 1)
-            np.put_along_axis(room, top, 0.0, 1)
-            np.put_along_axis(seen, top, 1, 1)
-            lower += low
-            gap += room
+            ids.append((top + np.arange(len(open_))[:, None] * n).ravel())
+            above_end.append((values - end[open_][:, None]).ravel())
+            above_last.append((values - t[:, None]).ravel())
             last += t
-        kth = np.partition(np.where(seen > 0, lower, -np.inf), n - k, axis=1)[:, n - k]
-        may = (seen > 0) & (lower + gap >= (kth - slack)[:, None])
-        done = (last < kth - slack) & (may.sum(axis=1) <= 8 * k + depth) | (d == n)
-        r, c = np.nonzero(may[done])
-        found.append((open_[done][r], c))
+        # an object that hasn't been read in a list has at least the list's end there, at most the last score read
+        seen, place = np.unique(np.concatenate(ids), return_inverse=True)
+        row, col = np.divmod(seen, n)
+        lower = ends[:, open_].sum(axis=0)[row] + np.bincount(place, weights=np.concatenate(above_end))
+        upper = last[row] + np.bincount(place, weights=np.concatenate(above_last))
+        best = np.lexsort((-lower, row))
+        kth = lower[best[np.searchsorted(row, np.arange(len(open_))) + k - 1]]
+        may = upper >= (kth - slack)[row]
+        left = np.bincount(row[may], minlength=len(open_))
+        done = (last < kth - slack) & (left <= 8 * k + depth) | (d == n)
+        take = may & done[row]
+        found.append((open_[row[take]], col[take]))
         open_, depth = open_[~done], depth * 2
     return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found]), reached
 
@@ -103,7 +104,8 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "
         .select("w", F.col("rows.i").alias("ids"), F.flatten("rows.v").alias("x"))
     )
     left, right = packed, packed.select(F.col("w").alias("w2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"))
-    pairs = left.join(right, F.col("w") == F.col("w2"))
+    # every block with every block: not an equality, which would send all pairs to the one task of its key
+    pairs = left.join(right, F.col("w") - F.col("w2") == 0)
     schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("s", T.DoubleType())])
 
     def search(frames):
