@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,17 @@ def features(text: str | None) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int64)
 
 
+def packed(f: np.ndarray) -> bytes:
+    """Buckets in order as compressed gaps, low bytes first."""
+    gaps = np.diff(f, prepend=0).astype("<u4")
+    return compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(decompress(b), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+
+
 def informative(P: list[np.ndarray], U: list[np.ndarray]) -> np.ndarray:
     """Buckets of the features to keep."""
     if not P or not U:
@@ -178,20 +189,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if to_p is None or to_u is None:
         return {BIAS: -1.0, CUT: 0.0}
     # both sides of these joins hold at most about ``sample`` rows
-    p = d.where(F.col("h") <= to_p).join(toxic.where(F.col("h") <= to_p).select("i"), "i", "left_semi").select("h", "t", F.lit(1).alias("y"))
+    # the ids chosen are at most ``sample``, so they go to the texts, not the texts to them
+    p = d.where(F.col("h") <= to_p).join(F.broadcast(toxic.where(F.col("h") <= to_p).join(ids.select("i"), "i", "left_semi").limit(sample).select("i")), "i", "left_semi").select("h", "t", F.lit(1).alias("y"))
     u = d.where(F.col("h") <= to_u).join(known.where(F.col("h") <= to_u).select("i"), "i", "left_anti").select("h", "t", F.lit(0).alias("y"))
 
     def extract(frames):
         for f in frames:
-            yield pd.DataFrame({"h": f["h"], "y": f["y"], "f": [features(t).astype(np.int32) for t in f["t"]]})
+            yield pd.DataFrame({"h": f["h"], "y": f["y"], "f": [packed(features(t)) for t in f["t"]]})
 
     def learn(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["y", "h"], kind="stable")
-        P, U = ([np.asarray(x, dtype=np.int64) for x in f["f"][f["y"] == y]] for y in (1, 0))
+        P, U = ([unpacked(x) for x in f["f"][f["y"] == y]] for y in (1, 0))
         m = train(P, U, prior)
         return pd.DataFrame({"bucket": list(m), "weight": list(m.values())})
 
-    sampled = p.unionByName(u).mapInPandas(extract, "h long, y int, f array<int>")
+    sampled = p.unionByName(u).mapInPandas(extract, "h long, y int, f binary")
     rows = sampled.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "bucket int, weight double").collect()
     return {r["bucket"]: r["weight"] for r in rows}
 

@@ -69,3 +69,9 @@ def test_cut_maximises_recall_squared_over_share():
 
     zp, zu = np.array([3.0, 2.5, 2.0, 1.9]), np.concatenate([np.full(90, -3.0), np.linspace(1.8, 3.2, 10)])
     assert -3 < X.choose_cut(zp, zu) <= 1.9
+
+
+def test_packed_features():
+    for text in ("", "one word or two " * 50):
+        f = X.features(text)
+        assert X.unpacked(X.packed(f)).tolist() == f.tolist()
