@@ -17,8 +17,8 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; a document of such lines alone goes."""
-    return line_dedup.without_repeated_lines(docs)
+    """Documents without lines that repeat an earlier one, up to PIPELINE_EDITS edits; a document of such lines alone goes."""
+    return line_dedup.without_repeated_lines(docs, most_edits=line_dedup.PIPELINE_EDITS)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Line dedup within an edit bound of one, by a deletion-neighbourhood join."""
+"""Line dedup within an edit bound: of one by a deletion-neighbourhood join, of more by segments that the edits leave whole."""
 
 from __future__ import annotations
 
@@ -12,6 +12,11 @@ from .common import KEY, ROW, checkpointed, packed, row_key, rows_of, table
 
 #: Lines shorter than this have to be equal to count as repeated.
 NEAR_CHARS = 24
+#: Most edits between two lines that count as repeated. OP3_SQL sets it to one; the pipeline takes PIPELINE_EDITS.
+MOST_EDITS = 1
+PIPELINE_EDITS = 4
+#: A line has one edit for so many of its characters, one at least and ``most_edits`` at most.
+CHARS_PER_EDIT = 20
 #: Windows into which a line is cut to find out whether any other line agrees with it outside of one.
 WINDOWS = 4
 
@@ -72,6 +77,47 @@ def window_keys(texts: list[str], near_chars: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (rows, keys, roles, starts, stops))
 
 
+def segment_keys(texts: list[str], near_chars: int, most_edits: int, chars_per_edit: int) -> tuple[np.ndarray, ...]:
+    """(text number, key, own): hashes of each text's own segments, and of what it has where a shorter text's segments may stand.
+
+    With a bound of k the shorter of a pair is cut into k + 1 segments. k edits
+    leave one of them whole, moved by no more than there are segments to its
+    left and, from the end, to its right (Li et al., Pass-Join). A key names the
+    shorter text's length, the segment and its characters.
+    """
+    m = np.array([len(t) for t in texts], dtype=np.int64)
+    at = np.concatenate([[0], np.cumsum(m)])
+    p = _sums(_points("".join(texts)))
+    back = powers(_INVERSE, len(p))
+    rows, keys, owns = [], [], []
+    with np.errstate(over="ignore"):
+        for shorter in range(most_edits + 1):
+            n = m - shorter
+            bound = np.where(n < near_chars, 0, np.clip(n // chars_per_edit, 1, most_edits))
+            for k in range(max(1, shorter), most_edits + 1):
+                row = np.flatnonzero(bound == k)
+                for i in range(k + 1):
+                    a, b = n[row] * i // (k + 1), n[row] * (i + 1) // (k + 1)
+                    label = ((n[row] * (most_edits + 1) + i).astype(np.uint64) + np.uint64(1)) * _K[2]
+                    for shift in range(max(-i, shorter - (k - i)), min(i, shorter + k - i) + 1):
+                        fits = (a + shift >= 0) & (b + shift <= m[row])
+                        r = row[fits]
+                        start, stop = at[r] + a[fits] + shift, at[r] + b[fits] + shift
+                        key = ((p[stop] - p[start]) * back[start] * _K[0] ^ label[fits]) * _K[1]
+                        rows.append(r)
+                        keys.append(((key ^ (key >> np.uint64(32))) * _K[0]).view(np.int64))
+                        owns.append(np.full(len(r), shorter == 0 and shift == 0))
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(owns)
+
+
+def parities(texts: list[str]) -> np.ndarray:
+    """64 bits for each text, none of them empty: whether it has an odd number of the characters of a class. An edit changes two bits at most."""
+    at = np.cumsum([0] + [len(t) for t in texts])[:-1]
+    with np.errstate(over="ignore"):
+        classes = (_points("".join(texts)) * _BASE) >> np.uint64(58)
+    return np.bitwise_xor.reduceat(np.uint64(1) << classes, at).view(np.int64)
+
+
 def normalised(line: Column) -> Column:
     rare = line.rlike(r"[\t\x0B\f\r\x{00a0}]|  ")
     return F.lower(F.trim(F.when(rare, F.regexp_replace(line, r"[\s\x{00a0}]+", " ")).otherwise(line)))
@@ -163,9 +209,55 @@ def matches(docs: DataFrame, id_col: str, text_col: str, near_chars: int = NEAR_
     return checked.groupBy("h1", "h2").agg(F.min("o").alias("partner"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
+def matches_within(docs: DataFrame, id_col: str, text_col: str, near_chars: int, most_edits: int, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """(h1, h2, partner) as of :func:`matches`, for a bound that grows with the shorter line's length.
+
+    Lines that share no segment with another leave. The others are held against
+    the earliest line of each of their segments first; after that only lines
+    still earlier than what was found are of interest, so that a group of mutual
+    neighbours makes no list of pairs. The rest are pairs whose parities allow
+    the bound. All pairs are verified by their real edit distance.
+    """
+    hashed = _hashed(lines_of(docs, id_col, text_col))
+    lines = hashed.groupBy("h1").agg(F.min(F.struct("h2", "o", "t")).alias("x")).where("x.o IS NOT NULL AND x.h2 IS NOT NULL")
+
+    def keys(batches):
+        for batch in rows_of(batches, 1_000):
+            row, key, own = segment_keys(batch.column(1).to_pylist(), near_chars, most_edits, chars_per_edit)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key), pa.array(own)], names=["h1", "key", "own"])
+
+    def sketched(batches):
+        for batch in rows_of(batches, 1_000):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parities(batch.column(1).to_pylist()))], names=["h1", "bits"])
+
+    same = Window.partitionBy("key")
+    keyed = lines.where(F.length("x.t") >= near_chars).select("h1", "x.t").mapInArrow(keys, "h1 long, key long, own boolean")
+    shared = keyed.withColumn("n", F.count("*").over(same)).withColumn("any", F.max("own").over(same)).where("n > 1 AND any")
+    met = shared.groupBy("h1").agg(F.collect_set(F.struct("key", "own")).alias("keys"))
+    near = checkpointed(met.join(lines, "h1").select("h1", "x.h2", "x.o", "x.t", "keys"))
+    bits = near.select("h1", "t").mapInArrow(sketched, "h1 long, bits long")
+    placed = near.select("h1", "h2", "o", F.length("t").alias("m"), F.explode("keys").alias("x")).select("h1", "h2", "o", "m", "x.key", "x.own")
+
+    mine, other = near.select("h1", "h2", F.col("t").alias("t1")), near.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("o").alias("p"), F.col("t").alias("t2"))
+    least = F.least(F.length("t1"), F.length("t2"))
+    bound = F.when(least < near_chars, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(most_edits), F.floor(least / chars_per_edit))))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.dropDuplicates().join(mine, ["h1", "h2"]).join(other, ["g1", "g2"])
+        return both.where(F.levenshtein("t1", "t2", most_edits).between(1, bound)).groupBy("h1", "h2").agg(F.min("p").alias("p"))
+
+    earliest = placed.withColumn("f", F.min(F.struct("o", "h1", "h2")).over(same)).where("f.o < o")
+    found = checkpointed(verified(earliest.select("h1", "h2", F.col("f.h1").alias("g1"), F.col("f.h2").alias("g2"))))
+    rest = placed.join(found, ["h1", "h2"], "left").join(bits, "h1").withColumn("before", F.coalesce("p", "o")).drop("p")
+    a = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ("h1", "h2", "o", "m", "own", "bits")])
+    pairs = rest.join(a, "key").where(f"a_o < before AND (own OR a_own) AND abs(m - a_m) <= {most_edits} AND bit_count(bits ^ a_bits) <= {2 * most_edits}")
+    more = verified(pairs.select("h1", "h2", F.col("a_h1").alias("g1"), F.col("a_h2").alias("g2")))
+    return found.unionByName(more).groupBy("h1", "h2").agg(F.min("p").alias("partner"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS, most_edits: int = MOST_EDITS) -> DataFrame:
     """(nodoc, d, k, pos, kept): lines to remove, and the earlier line that stays for them."""
-    found = matches(docs, id_col, text_col, near_chars)
+    found = matches(docs, id_col, text_col, near_chars) if most_edits == 1 else matches_within(docs, id_col, text_col, near_chars, most_edits)
     every = _hashed(lines_of(docs, id_col, text_col)).select("h1", "h2", "o")
     # a line that stands in very many places is grouped by partial sums and joined with skew handling
     first = every.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.count("*").alias("n"))
@@ -174,29 +266,31 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.where("partner IS NOT NULL OR first < o").select("o.*", F.coalesce("partner", "first").alias("kept"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS, most_edits: int = MOST_EDITS) -> DataFrame:
     """One row per line to be removed: id, ``line_no`` from 0, ``kept_<id>`` and ``kept_line_no`` of an earlier line that makes it superfluous.
 
     Lines are compared in lower case with white space squeezed. A line goes if
     an earlier one is equal or, where the shorter has ``near_chars`` characters
-    or more, at edit distance one (Levenshtein, on characters). Earlier means
-    by id (null last), then by a hash of id and text, then by line number. The
-    kept line named is the earliest at distance one if there is one before it,
-    else the earliest equal one. Blank lines stay. Null and empty texts have no
+    or more, within the edit bound (Levenshtein, on characters): one edit for
+    every CHARS_PER_EDIT characters of the shorter, one at least and
+    ``most_edits`` at most. Earlier means by id (null last), then by a hash of
+    id and text, then by line number. The kept line named is the earliest within
+    the bound, but not equal, if there is one before it, else the earliest
+    equal one. Blank lines stay. Null and empty texts have no
     lines; rows alike in id and text count as one; other columns are ignored.
     """
-    r = repeated_lines(docs, id_col, text_col, near_chars).select("d", "k", "pos", "kept").dropDuplicates(["d", "k", "pos"])
+    r = repeated_lines(docs, id_col, text_col, near_chars, most_edits).select("d", "k", "pos", "kept").dropDuplicates(["d", "k", "pos"])
     return r.select(F.col("d").alias(id_col), F.col("pos").alias("line_no"), F.col("kept.d").alias(f"kept_{id_col}"), F.col("kept.pos").alias("kept_line_no"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", near_chars: int = NEAR_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", near_chars: int = NEAR_CHARS, most_edits: int = MOST_EDITS) -> DataFrame:
     """The documents without the lines that :func:`line_dedup` removes; ``length_col`` follows.
 
     A document none of whose lines with text remain goes; one that had none
     from the start stays as it is. All other columns are kept.
     """
     columns = docs.columns
-    gone = repeated_lines(docs, id_col, text_col, near_chars).groupBy(F.col("d").alias("gd"), F.col("k").alias("gk")).agg(F.collect_set("pos").alias("gone"))
+    gone = repeated_lines(docs, id_col, text_col, near_chars, most_edits).groupBy(F.col("d").alias("gd"), F.col("k").alias("gk")).agg(F.collect_set("pos").alias("gone"))
     whole = packed(docs, **{KEY: row_key(docs, id_col, text_col), "__id": docs[id_col]})
     joined = whole.join(gone, (F.col(KEY) == F.col("gk")) & F.col("__id").eqNullSafe(F.col("gd")), "left")
     lines = F.split(F.col(ROW)[text_col].cast("string"), "\n")
