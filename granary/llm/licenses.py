@@ -53,8 +53,8 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], threshold: float):
-        self.threshold = threshold
+    def __init__(self, templates: dict[str, str], threshold: float, windows: bool = False):
+        self.threshold, self.windows = threshold, windows
         self.sets = {k: b for k, t in sorted(templates.items()) if (b := bigrams(t))}
         self.limits = {k: bounds(len(b), threshold) for k, b in self.sets.items()}
         # bigrams in common that a set of the least size needs
@@ -65,11 +65,12 @@ class Scanner:
                 self.owners.setdefault(g, []).append(k)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(licence, Dice coefficient, first line, last line): for each template its best run of lines, if good enough.
+        """(licence, Dice coefficient, first line, last line): for each template its best run of lines or window of words, if good enough.
 
         Every run of whole lines counts; those that begin or end with a line
-        without a template bigram can't be best and are skipped. Ties go to the
-        earlier, then the shorter run.
+        without a template bigram can't be best and are skipped. With
+        ``windows`` every run of words counts, wherever in a line it begins and
+        ends. Ties go to the earlier, then the shorter run.
         """
         if not text:
             return []
@@ -96,6 +97,10 @@ class Scanner:
         for k in sorted(wanted):
             template, (lo, hi) = self.sets[k], self.limits[k]
             mine = [(p, g) for p, g in hits if g in template]
+            if self.windows:
+                if best := self._window(w, mine, template, lo, hi):
+                    out.append((k, round(best[0], 6), line_of[best[1]], line_of[best[2]]))
+                continue
             touched = sorted({line_of[q] for p, _ in mine for q in (p, p + 1)})
             ends = set(touched)
             best = None
@@ -125,11 +130,41 @@ class Scanner:
         return out
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, license_id, dice, first_line, last_line), lines counted from 0: one row for each template that a document has a run of lines for.
+    def _window(self, w: list[str], mine: list, template: frozenset, lo: int, hi: int) -> tuple[float, int, int] | None:
+        """(Dice coefficient, first word, last word) of the best window, from one template bigram to another.
+
+        A window that has its first bigram again is no better than the one
+        without its first word, so none grows that far.
+        """
+        best = None
+        for p0, g0 in mine:
+            seen, common = {g0}, 1
+            p = p0
+            while True:
+                if len(seen) >= lo and (w[p], w[p + 1]) in template:
+                    dice = 2 * common / (len(seen) + len(template))
+                    if dice >= self.threshold - 1e-12 and (best is None or dice > best[0] + 1e-12):
+                        best = (dice, p0, p + 1)
+                p += 1
+                if common == len(template) or p + 1 >= len(w):
+                    break
+                g = (w[p], w[p + 1])
+                if g == g0:
+                    break
+                if g not in seen:
+                    seen.add(g)
+                    common += g in template
+                    if len(seen) > hi:
+                        break
+        return best
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", windows: bool = True) -> DataFrame:
+    """(id, license_id, dice, first_line, last_line), lines counted from 0: one row for each template that a document has a window of words for.
 
     Texts and templates are compared as sets of word bigrams, words being runs
-    of letters and digits in lower case. Only templates whose size lies within
+    of letters and digits in lower case. A window begins and ends at any word;
+    without ``windows`` only runs of whole lines count. Only templates whose size lies within
     the bounds that the threshold puts on a run's size, and that the document
     has enough bigrams of, are compared. Null and empty texts and templates
     without a bigram match nothing. Repeated rows give repeated results; other
@@ -147,14 +182,14 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         ]
     )
 
-    return picked.mapInArrow(_as_arrow(templates, threshold, schema), schema)
+    return picked.mapInArrow(_as_arrow(templates, threshold, schema, windows), schema)
 
 
-def _as_arrow(templates, threshold, schema):
+def _as_arrow(templates, threshold, schema, windows):
     names = schema.names
 
     def run(batches):
-        scanner = Scanner(templates, threshold)
+        scanner = Scanner(templates, threshold, windows)
         for batch in batches:
             at, rows = [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
