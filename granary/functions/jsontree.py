@@ -286,8 +286,8 @@ def translated(value, targets: dict[str, object], lang: str, at: str = ""):
 
 def rendered(node, tag: Callable[[str, dict, str], str], text: Callable[[str], str] = lambda s: s) -> str:
     """A tree as markup, by what ``tag`` makes of a name, an object and its inside."""
-    if isinstance(node, str):
-        return text(node)
+    if isinstance(node, (str, int, float)) and not isinstance(node, bool):
+        return text(str(node))
     if isinstance(node, list):
         return "".join(rendered(x, tag, text) for x in node)
     if isinstance(node, dict):
