@@ -114,43 +114,133 @@ def ingested(batches: DataFrame, responses: DataFrame) -> DataFrame:
     return j.select(*[new.alias("state") if c == "state" else F.when(new == "leased", F.col("token")).alias("token") if c == "token" else F.col(c) for c in batches.columns])
 
 
-def schema_issues(value, schema: dict, at: str = "") -> list[str]:
-    """What breaks a JSON schema, of its keywords type, enum, required, properties, additionalProperties, items, prefixItems, minItems, maxItems, minLength, pattern."""
+_ANNOTATIONS = {"$schema", "$id", "$comment", "$defs", "definitions", "title", "description", "default", "examples", "markdownDescription", "deprecated", "readOnly", "writeOnly"}
+_CHECKED = {
+    *("$ref", "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "type", "enum", "const", "required", "properties", "patternProperties", "additionalProperties", "propertyNames"),
+    *("minProperties", "maxProperties", "items", "prefixItems", "additionalItems", "contains", "minItems", "maxItems", "uniqueItems", "minLength", "maxLength", "pattern", "format"),
+    *("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf"),
+}
+_FORMATS = {
+    "date-time": r"\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)",
+    "date": r"\d{4}-\d\d-\d\d",
+    "uri": r"[A-Za-z][A-Za-z0-9+.-]*:\S+",
+    "email": r"[^@\s]+@[^@\s]+",
+    "uuid": r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
+    "regex": r"(?s).*",
+}
+
+
+def _plain(value):
+    """A value to be compared as JSON does: 1 is 1.0 but not true."""
+    if isinstance(value, bool) or value is None or isinstance(value, str):
+        return (type(value).__name__, value)
+    if isinstance(value, list):
+        return ("list", tuple(map(_plain, value)))
+    if isinstance(value, dict):
+        return ("dict", frozenset((k, _plain(v)) for k, v in value.items()))
+    return ("number", value)
+
+
+def schema_issues(value, schema, at: str = "", root=None) -> list[str]:
+    """What breaks a JSON schema. References are those within the schema; a keyword or format that isn't known is an error."""
     import re
 
+    root = schema if root is None else root
+    here = at or "/"
+    if isinstance(schema, bool):
+        return [] if schema else [f"{here}: not allowed"]
+    if unknown := sorted(set(schema) - _CHECKED - _ANNOTATIONS):
+        raise ValueError(f"keywords that aren't checked: {unknown}")
     kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
     out = []
+
+    def sub(v, rule, where=at):
+        return schema_issues(v, rule, where, root)
+
+    if "$ref" in schema:
+        if not schema["$ref"].startswith("#"):
+            raise ValueError(f"a reference to elsewhere: {schema['$ref']}")
+        rule = root
+        for step in filter(None, schema["$ref"][1:].split("/")):
+            rule = rule[int(step)] if isinstance(rule, list) else rule[step.replace("~1", "/").replace("~0", "~")]
+        out += sub(value, rule)
     wanted = schema.get("type")
     if wanted is not None:
         wanted = wanted if isinstance(wanted, list) else [wanted]
-        if not any(isinstance(value, kinds[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in wanted):
-            return [f"{at or '/'}: type"]
-    if "enum" in schema and value not in schema["enum"]:
-        out.append(f"{at or '/'}: enum")
+        whole = isinstance(value, float) and value.is_integer() and "integer" in wanted
+        if not whole and not any(isinstance(value, kinds[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in wanted):
+            return [*out, f"{here}: type"]
+    if "enum" in schema and _plain(value) not in map(_plain, schema["enum"]):
+        out.append(f"{here}: enum")
+    if "const" in schema and _plain(value) != _plain(schema["const"]):
+        out.append(f"{here}: const")
+    for rule in schema.get("allOf", ()):
+        out += sub(value, rule)
+    if "anyOf" in schema and all([sub(value, rule) for rule in schema["anyOf"]]):
+        out.append(f"{here}: anyOf")
+    if "oneOf" in schema and sum(not sub(value, rule) for rule in schema["oneOf"]) != 1:
+        out.append(f"{here}: oneOf")
+    if "not" in schema and not sub(value, schema["not"]):
+        out.append(f"{here}: not")
+    if "if" in schema:
+        out += sub(value, schema.get("else" if sub(value, schema["if"]) else "then", True))
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{at}/{k}: required" for k in schema.get("required", ()) if k not in value]
+        if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+            out.append(f"{here}: size")
         for k, v in value.items():
-            if k in known:
-                out += schema_issues(v, known[k], f"{at}/{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}/{k}: unknown")
+            rules = [known[k]] if k in known else []
+            rules += [rule for p, rule in patterns.items() if re.search(p, k)]
+            for rule in rules:
+                out += sub(v, rule, f"{at}/{k}")
+            if not rules:
+                rest = schema.get("additionalProperties", True)
+                out += [f"{at}/{k}: unknown"] if rest is False else sub(v, rest, f"{at}/{k}")
+            if "propertyNames" in schema and sub(k, schema["propertyNames"]):
+                out.append(f"{at}/{k}: name")
     elif isinstance(value, list):
         if len(value) < schema.get("minItems", 0) or len(value) > schema.get("maxItems", len(value)):
-            out.append(f"{at or '/'}: size")
-        first = schema.get("prefixItems", [])
+            out.append(f"{here}: size")
+        if schema.get("uniqueItems") and len(set(map(_plain, value))) < len(value):
+            out.append(f"{here}: unique")
+        if "contains" in schema and all([sub(v, schema["contains"]) for v in value]):
+            out.append(f"{here}: contains")
+        # a list of items is draft 7's prefixItems
+        items = schema.get("items", True)
+        first, rest = (items, schema.get("additionalItems", True)) if isinstance(items, list) else (schema.get("prefixItems", []), items)
         for n, v in enumerate(value):
-            rule = first[n] if n < len(first) else schema.get("items")
-            if isinstance(rule, dict):
-                out += schema_issues(v, rule, f"{at}/{n}")
+            out += sub(v, first[n] if n < len(first) else rest, f"{at}/{n}")
     elif isinstance(value, str):
-        if len(value) < schema.get("minLength", 0):
-            out.append(f"{at or '/'}: length")
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            out.append(f"{here}: length")
         if "pattern" in schema and not re.search(schema["pattern"], value):
-            out.append(f"{at or '/'}: pattern")
+            out.append(f"{here}: pattern")
+        if "format" in schema:
+            if schema["format"] not in _FORMATS:
+                raise ValueError(f"a format that isn't checked: {schema['format']}")
+            if not re.fullmatch(_FORMATS[schema["format"]], value):
+                out.append(f"{here}: format")
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+            out.append(f"{here}: range")
+        if ("exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]) or ("exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]):
+            out.append(f"{here}: range")
+        if "multipleOf" in schema and not float(value / schema["multipleOf"]).is_integer():
+            out.append(f"{here}: multiple")
     return out
 
 
+def archive_issues(path: str, index_schema: dict, bank_schema: dict) -> dict[str, list[str]]:
+    """What breaks the schemas in an archive's index.json and each of its term_bank_N.json members, by member."""
+    import re
+    import zipfile
+
+    with zipfile.ZipFile(path) as z:
+        banks = [n for n in z.namelist() if re.fullmatch(r"term_bank_\d+\.json", n)]
+        return {n: schema_issues(json.loads(z.read(n)), index_schema if n == "index.json" else bank_schema) for n in ("index.json", *banks)}
+
+
 def checked_by_schema(df: DataFrame, body: str, schema: dict) -> DataFrame:
     """Adds ``issues``."""
 
