@@ -287,6 +287,34 @@ def metadata_issues(meta: dict, updatable: bool) -> list[str]:
     return out + [f"local: {k}" for k, v in meta.items() if isinstance(v, str) and any(x in v for x in ("localhost", "127.0.0.1", "file://"))]
 
 
+def built_index(source: dict, *, title: str, author: str, url: str, languages: tuple[str, str], description: str, revision: str, version: str, update: tuple[str, str] | None = None, foreign: tuple[str, ...] = ()) -> dict:
+    """An archive's index: own metadata, of the source's only format, sequencing and attribution; ``update`` is the index's and the archive's URL.
+
+    An error if the revision lacks ``v`` and the version, a URL has a word of ``foreign`` or :func:`metadata_issues` has anything.
+    """
+    index = {
+        "title": title,
+        "revision": revision,
+        "format": source.get("format", 3),
+        "sequenced": source.get("sequenced", True),
+        "author": author,
+        "description": description,
+        "attribution": source.get("attribution", ""),
+        "sourceLanguage": languages[0],
+        "targetLanguage": languages[1],
+        "url": url,
+    }
+    if update:
+        index |= {"isUpdatable": True, "indexUrl": update[0], "downloadUrl": update[1]}
+    issues = metadata_issues({k: index[k] for k in ("url", "isUpdatable", "indexUrl", "downloadUrl") if k in index}, update is not None)
+    if f"v{version}" not in revision:
+        issues.append("revision")
+    issues += [f"foreign: {k}" for k in ("url", "indexUrl", "downloadUrl") if any(x.lower() in index.get(k, "").lower() for x in foreign)]
+    if issues:
+        raise ValueError(f"metadata: {issues}")
+    return index
+
+
 def side_by_side(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Rows of two versions beside each other; an error in the job if one side lacks a row."""
     x = a.select(*keys, *[F.col(c).alias(f"{c}_original") for c in columns], F.lit(True).alias("__x"))
