@@ -16,4 +16,4 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op2_top_k": topk.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op5_license_scan": licenses.OP5_SQL}
+ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op2_top_k": topk.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op9_mix_sources": mixing.OP9_SQL}
