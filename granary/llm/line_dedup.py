@@ -1,4 +1,4 @@
-"""Line dedup within an edit bound: of one by a deletion-neighbourhood join, of more by segments that the edits leave whole."""
+"""Line dedup within an edit bound: of one by a deletion-neighbourhood join, of more by variants that delete all but a segment which the edits leave whole."""
 
 from __future__ import annotations
 
@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import KEY, ROW, checkpointed, packed, row_key, rows_of, table
 
-#: Lines shorter than this have to be equal to count as repeated.
-NEAR_CHARS = 24
 #: Most edits between two lines that count as repeated. OP3_SQL sets it to one; the pipeline takes PIPELINE_EDITS.
 MOST_EDITS = 1
 PIPELINE_EDITS = 4
-#: A line has one edit for so many of its characters, one at least and ``most_edits`` at most.
+#: A line has one edit for each so many of its characters, ``most_edits`` at most.
 CHARS_PER_EDIT = 20
 #: Windows into which a line is cut to find out whether any other line agrees with it outside of one.
 WINDOWS = 4
@@ -50,7 +48,7 @@ def neighbourhood(text: str, start: int, stop: int) -> tuple[int, np.ndarray]:
         return int(p[-1:].view(np.int64)[0]), (p[start:stop] + (p[-1] - p[start + 1 : stop + 1]) * _INVERSE).view(np.int64)
 
 
-def window_keys(texts: list[str], near_chars: int) -> tuple[np.ndarray, ...]:
+def window_keys(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
     """(text number, key, longer, a, b): what each text has outside of each window, hashed.
 
     As the shorter of a pair a text of n characters is cut into WINDOWS windows
@@ -64,7 +62,7 @@ def window_keys(texts: list[str], near_chars: int) -> tuple[np.ndarray, ...]:
     rows, keys, roles, starts, stops = [], [], [], [], []
     with np.errstate(over="ignore"):
         for longer in (0, 1):
-            row = np.flatnonzero(m - longer >= near_chars)
+            row = np.flatnonzero(m - longer >= least)
             n, s, e = m[row] - longer, at[row], at[row + 1]
             for j in range(WINDOWS):
                 a, b = n * j // WINDOWS, n * (j + 1) // WINDOWS
@@ -77,37 +75,44 @@ def window_keys(texts: list[str], near_chars: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (rows, keys, roles, starts, stops))
 
 
-def segment_keys(texts: list[str], near_chars: int, most_edits: int, chars_per_edit: int) -> tuple[np.ndarray, ...]:
-    """(text number, key, own): hashes of each text's own segments, and of what it has where a shorter text's segments may stand.
+def segment_keys(texts: list[str], most_edits: int, chars_per_edit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key): hashes of each text's own segments, whose keys are odd, and of what it has where a shorter text's segments may stand, whose keys are even.
 
-    With a bound of k the shorter of a pair is cut into k + 1 segments. k edits
-    leave one of them whole, moved by no more than there are segments to its
-    left and, from the end, to its right (Li et al., Pass-Join). A key names the
-    shorter text's length, the segment and its characters.
+    Texts are put in classes by length, ``chars_per_edit`` lengths to a class. A
+    class has a bound of k edits, and two ends that don't overlap in its
+    shortest text, cut into k // 2 + 1 segments each. One end has k // 2 edits
+    or fewer, so one of its segments is whole, and the one that comes first (seen
+    from the end) with no more edits before it than there are segments before it
+    is moved by no more than that number of characters. A longer text also looks
+    in the class below if a text shorter by k may be there.
     """
     m = np.array([len(t) for t in texts], dtype=np.int64)
     at = np.concatenate([[0], np.cumsum(m)])
     p = _sums(_points("".join(texts)))
     back = powers(_INVERSE, len(p))
-    rows, keys, owns = [], [], []
+    own = m // chars_per_edit
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     with np.errstate(over="ignore"):
-        for shorter in range(most_edits + 1):
-            n = m - shorter
-            bound = np.where(n < near_chars, 0, np.clip(n // chars_per_edit, 1, most_edits))
-            for k in range(max(1, shorter), most_edits + 1):
-                row = np.flatnonzero(bound == k)
-                for i in range(k + 1):
-                    a, b = n[row] * i // (k + 1), n[row] * (i + 1) // (k + 1)
-                    label = ((n[row] * (most_edits + 1) + i).astype(np.uint64) + np.uint64(1)) * _K[2]
-                    for shift in range(max(-i, shorter - (k - i)), min(i, shorter + k - i) + 1):
-                        fits = (a + shift >= 0) & (b + shift <= m[row])
-                        r = row[fits]
-                        start, stop = at[r] + a[fits] + shift, at[r] + b[fits] + shift
-                        key = ((p[stop] - p[start]) * back[start] * _K[0] ^ label[fits]) * _K[1]
-                        rows.append(r)
-                        keys.append(((key ^ (key >> np.uint64(32))) * _K[0]).view(np.int64))
-                        owns.append(np.full(len(r), shorter == 0 and shift == 0))
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(owns)
+        for lower in (0, 1):
+            kind = own - lower
+            bound = np.minimum(kind, most_edits)
+            fits = (kind >= 1) & (m - bound < (kind + 1) * chars_per_edit)
+            for half in np.unique(bound[fits] // 2).tolist():
+                row = np.flatnonzero(fits & (bound // 2 == half))
+                c = kind[row]
+                size = c * chars_per_edit // 2 // (half + 1)
+                for end in (0, 1):
+                    for i in range(half + 1):
+                        label = ((c * 2 + end) * (most_edits + 1) + i).astype(np.uint64) * _K[2]
+                        for shift in range(-i, i + 1):
+                            a = i * size + shift if not end else m[row] - (i + 1) * size + shift
+                            inside = (a >= 0) & (a + size <= m[row])
+                            r, start = row[inside], at[row[inside]] + a[inside]
+                            key = ((p[start + size[inside]] - p[start]) * back[start] * _K[0] ^ label[inside]) * _K[1]
+                            key = ((key ^ (key >> np.uint64(32))) * _K[0]) << np.uint64(1)
+                            rows.append(r)
+                            keys.append((key | np.uint64(shift == 0 and not lower)).view(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def parities(texts: list[str]) -> np.ndarray:
@@ -119,7 +124,10 @@ def parities(texts: list[str]) -> np.ndarray:
 
 
 def normalised(line: Column) -> Column:
-    rare = line.rlike(r"[\t\x0B\f\r\x{00a0}]|  ")
+    # looking for six strings costs less than one regular expression
+    rare = F.lit(False)
+    for x in ("\t", "\x0b", "\x0c", "\r", "\u00a0", "  "):
+        rare |= F.contains(line, F.lit(x))
     return F.lower(F.trim(F.when(rare, F.regexp_replace(line, r"[\s\x{00a0}]+", " ")).otherwise(line)))
 
 
@@ -134,11 +142,25 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.select(F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2"), F.struct("nodoc", "d", "k", "pos").alias("o"), "t")
 
 
-def matches(docs: DataFrame, id_col: str, text_col: str, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """(h1, h2, partner): distinct lines with an earlier line at edit distance one, and where the earliest such line first stands.
+def _distinct(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2, o, n, t): each distinct line, known by 128 bits of hash, with its first place and the number of its places. Its text moves once, after equal lines of a task have been made one."""
+    lines = _hashed(lines_of(docs, id_col, text_col)).groupBy("h1", "h2").agg(F.min("o").alias("o"), F.count("*").alias("n"), F.first("t").alias("t"))
+    # always true; all uses ask for the same columns by it, so that one shuffle serves them
+    return lines.where("o IS NOT NULL AND n > 0 AND t IS NOT NULL")
 
-    All lines meet by their hash, once (of two lines that shared 64 bits of it,
-    one would be looked at here). A pair at distance one agrees outside
+
+def _candidates(lines: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Lines that share a key with another, with these keys and their text, and those that stand in several places, without. Where two lines share 64 bits of hash, each gets the keys of both, which is harmless."""
+    met = keyed.groupBy("h1").agg(F.collect_set("key").alias("keys")).join(lines.select("h1", "h2"), "h1")
+    # lines lie by both hashes already, so their text stays where it is
+    both = lines.join(met.select("h1", "h2", "keys"), ["h1", "h2"], "left").where("n > 1 OR keys IS NOT NULL")
+    return checkpointed(both.select("h1", "h2", "o", "n", F.when(F.col("keys").isNotNull(), F.col("t")).alias("t"), "keys"))
+
+
+def matches(docs: DataFrame, id_col: str, text_col: str, chars_per_edit: int = CHARS_PER_EDIT) -> tuple[DataFrame, DataFrame]:
+    """What :func:`_candidates` gives, and (h1, h2, partner): distinct lines with an earlier line at edit distance one, and where the earliest such line first stands.
+
+    All lines meet by their hash, once. A pair at distance one agrees outside
     one of four windows, so lines that agree with no other there have no
     neighbour and leave. The rest emit their whole deletion neighbourhood in
     that window: a line without its character i, keyed with i, is shared by
@@ -148,20 +170,16 @@ def matches(docs: DataFrame, id_col: str, text_col: str, near_chars: int = NEAR_
     earliest member decides and no list of pairs is made, however many lines
     share a key. Pairs are then verified by their real edit distance.
     """
-    hashed = _hashed(lines_of(docs, id_col, text_col))
-    # the text of each distinct line moves once, after equal lines of a task have been made one
-    distinct = hashed.groupBy("h1").agg(F.min(F.struct("h2", "o", "t")).alias("x"))
+    lines = _distinct(docs, id_col, text_col)
 
     def keys(batches):
         for batch in rows_of(batches, 2_000):
-            row, key, *_ = window_keys(batch.column(1).to_pylist(), near_chars)
+            row, key, *_ = window_keys(batch.column(1).to_pylist(), chars_per_edit)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key)], names=["h1", "key"])
 
-    lines = distinct.select("h1", "x").where("x.o IS NOT NULL AND x.h2 IS NOT NULL")
-    keyed = lines.where(F.length("x.t") >= near_chars).select("h1", "x.t").mapInArrow(keys, "h1 long, key long")
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    windows = shared.groupBy("h1").agg(F.collect_set("key").alias("keys"))
-    near = checkpointed(windows.join(lines, "h1").select("h1", "x.h2", "x.o", "x.t", "keys"))
+    keyed = lines.where(F.length("t") >= chars_per_edit).select("h1", "t").mapInArrow(keys, "h1 long, key long")
+    every = _candidates(lines, keyed.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"))
+    near = every.where("keys IS NOT NULL")
 
     def emit(frames):
         for f in frames:
@@ -169,7 +187,7 @@ def matches(docs: DataFrame, id_col: str, text_col: str, near_chars: int = NEAR_
                 part = f.iloc[at : at + 64]
                 texts, met = part["t"].tolist(), [set(x) for x in part["keys"]]
                 rows, kinds, vs, centers = [], [], [], set()
-                for row, key, longer, a, b in zip(*[x.tolist() for x in window_keys(texts, near_chars)]):
+                for row, key, longer, a, b in zip(*[x.tolist() for x in window_keys(texts, chars_per_edit)]):
                     if key not in met[row]:
                         continue
                     n = np.int64(len(texts[row]) - longer)
@@ -206,91 +224,92 @@ def matches(docs: DataFrame, id_col: str, text_col: str, near_chars: int = NEAR_
     pairs = placed.where("p IS NOT NULL AND p.o < o").groupBy("h1", "h2").agg(F.collect_set("p").alias("ps")).select("h1", "h2", F.explode("ps").alias("p"))
     mine, other = near.select("h1", "h2", F.col("t").alias("t1")), near.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("t").alias("t2"))
     checked = pairs.select("h1", "h2", "p.o", F.col("p.h1").alias("g1"), F.col("p.h2").alias("g2")).join(mine, ["h1", "h2"]).join(other, ["g1", "g2"]).where(F.levenshtein("t1", "t2", 1) == 1)
-    return checked.groupBy("h1", "h2").agg(F.min("o").alias("partner"))
+    return every, checked.groupBy("h1", "h2").agg(F.min("o").alias("partner"))
 
 
-def matches_within(docs: DataFrame, id_col: str, text_col: str, near_chars: int, most_edits: int, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """(h1, h2, partner) as of :func:`matches`, for a bound that grows with the shorter line's length.
+def matches_within(docs: DataFrame, id_col: str, text_col: str, most_edits: int, chars_per_edit: int = CHARS_PER_EDIT) -> tuple[DataFrame, DataFrame]:
+    """What :func:`matches` gives, for a bound that grows with the shorter line's length.
 
     Lines that share no segment with another leave. The others are held against
     the earliest line of each of their segments first; after that only lines
     still earlier than what was found are of interest, so that a group of mutual
-    neighbours makes no list of pairs. The rest are pairs whose parities allow
-    the bound. All pairs are verified by their real edit distance.
+    neighbours makes no list of pairs. The rest are pairs whose lengths and
+    parities allow the bound. All pairs are verified by their real edit distance.
     """
-    hashed = _hashed(lines_of(docs, id_col, text_col))
-    lines = hashed.groupBy("h1").agg(F.min(F.struct("h2", "o", "t")).alias("x")).where("x.o IS NOT NULL AND x.h2 IS NOT NULL")
+    lines = _distinct(docs, id_col, text_col)
 
     def keys(batches):
         for batch in rows_of(batches, 1_000):
-            row, key, own = segment_keys(batch.column(1).to_pylist(), near_chars, most_edits, chars_per_edit)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key), pa.array(own)], names=["h1", "key", "own"])
+            row, key = segment_keys(batch.column(1).to_pylist(), most_edits, chars_per_edit)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key)], names=["h1", "key"])
 
     def sketched(batches):
         for batch in rows_of(batches, 1_000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parities(batch.column(1).to_pylist()))], names=["h1", "bits"])
-
-    same = Window.partitionBy("key")
-    keyed = lines.where(F.length("x.t") >= near_chars).select("h1", "x.t").mapInArrow(keys, "h1 long, key long, own boolean")
-    shared = keyed.withColumn("n", F.count("*").over(same)).withColumn("any", F.max("own").over(same)).where("n > 1 AND any")
-    met = shared.groupBy("h1").agg(F.collect_set(F.struct("key", "own")).alias("keys"))
-    near = checkpointed(met.join(lines, "h1").select("h1", "x.h2", "x.o", "x.t", "keys"))
-    bits = near.select("h1", "t").mapInArrow(sketched, "h1 long, bits long")
-    placed = near.select("h1", "h2", "o", F.length("t").alias("m"), F.explode("keys").alias("x")).select("h1", "h2", "o", "m", "x.key", "x.own")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parities(batch.column(2).to_pylist()))], names=["h1", "h2", "bits"])
+
+    alike = Window.partitionBy(F.shiftright("key", 1))
+    keyed = lines.where(F.length("t") >= chars_per_edit).select("h1", "t").mapInArrow(keys, "h1 long, key long")
+    keyed = keyed.withColumns({"c": F.count("*").over(alike), "own": F.max(F.col("key").bitwiseAND(1)).over(alike)}).where("c > 1 AND own = 1")
+    every = _candidates(lines, keyed)
+    near = every.where("keys IS NOT NULL")
+    bits = near.select("h1", "h2", "t").mapInArrow(sketched, "h1 long, h2 long, bits long")
+    # a place is a segment of a text of n characters: one's own, or what it may be for a text shorter by up to ``most_edits``
+    placed = near.select("h1", "h2", "o", F.length("t").alias("m"), F.explode("keys").alias("key"))
+    placed = placed.select("h1", "h2", "o", "m", F.shiftright("key", 1).alias("key"), (F.col("key").bitwiseAND(1) == 1).alias("own"), F.explode(F.sequence(F.col("m") - most_edits, F.col("m"))).alias("n"))
+    placed = placed.withColumn("own", F.col("own") & (F.col("n") == F.col("m")))
+    same = Window.partitionBy("key", "n")
+    placed = placed.withColumns({"f": F.min(F.struct("o", "h1", "h2")).over(same), "any": F.max("own").over(same), "c": F.count("*").over(same)}).where("any AND c > 1")
 
     mine, other = near.select("h1", "h2", F.col("t").alias("t1")), near.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("o").alias("p"), F.col("t").alias("t2"))
-    least = F.least(F.length("t1"), F.length("t2"))
-    bound = F.when(least < near_chars, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(most_edits), F.floor(least / chars_per_edit))))
+    bound = F.least(F.lit(most_edits), F.floor(F.least(F.length("t1"), F.length("t2")) / chars_per_edit))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.dropDuplicates().join(mine, ["h1", "h2"]).join(other, ["g1", "g2"])
         return both.where(F.levenshtein("t1", "t2", most_edits).between(1, bound)).groupBy("h1", "h2").agg(F.min("p").alias("p"))
 
-    earliest = placed.withColumn("f", F.min(F.struct("o", "h1", "h2")).over(same)).where("f.o < o")
-    found = checkpointed(verified(earliest.select("h1", "h2", F.col("f.h1").alias("g1"), F.col("f.h2").alias("g2"))))
-    rest = placed.join(found, ["h1", "h2"], "left").join(bits, "h1").withColumn("before", F.coalesce("p", "o")).drop("p")
-    a = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ("h1", "h2", "o", "m", "own", "bits")])
-    pairs = rest.join(a, "key").where(f"a_o < before AND (own OR a_own) AND abs(m - a_m) <= {most_edits} AND bit_count(bits ^ a_bits) <= {2 * most_edits}")
+    earliest = placed.where("f.o < o").select("h1", "h2", F.col("f.h1").alias("g1"), F.col("f.h2").alias("g2"))
+    found = checkpointed(verified(earliest))
+    rest = placed.drop("f", "any", "c").join(found, ["h1", "h2"], "left").join(bits, ["h1", "h2"]).withColumn("before", F.coalesce("p", "o")).drop("p")
+    a = rest.select("key", "n", *[F.col(c).alias(f"a_{c}") for c in ("h1", "h2", "o", "own", "bits")])
+    pairs = rest.join(a, ["key", "n"]).where(f"a_o < before AND (own OR a_own) AND bit_count(bits ^ a_bits) <= {2 * most_edits}")
     more = verified(pairs.select("h1", "h2", F.col("a_h1").alias("g1"), F.col("a_h2").alias("g2")))
-    return found.unionByName(more).groupBy("h1", "h2").agg(F.min("p").alias("partner"))
+    return every, found.unionByName(more).groupBy("h1", "h2").agg(F.min("p").alias("partner"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS, most_edits: int = MOST_EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(nodoc, d, k, pos, kept): lines to remove, and the earlier line that stays for them."""
-    found = matches(docs, id_col, text_col, near_chars) if most_edits == 1 else matches_within(docs, id_col, text_col, near_chars, most_edits)
-    every = _hashed(lines_of(docs, id_col, text_col)).select("h1", "h2", "o")
+    lines, found = matches(docs, id_col, text_col, chars_per_edit) if most_edits == 1 else matches_within(docs, id_col, text_col, most_edits, chars_per_edit)
     # a line that stands in very many places is grouped by partial sums and joined with skew handling
-    first = every.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.count("*").alias("n"))
-    changed = first.join(found, ["h1", "h2"], "left").where("n > 1 OR partner IS NOT NULL")
-    joined = every.join(changed, ["h1", "h2"])
+    changed = lines.select("h1", "h2", F.col("o").alias("first"), "n").join(found, ["h1", "h2"], "left").where("n > 1 OR partner IS NOT NULL")
+    joined = _hashed(lines_of(docs, id_col, text_col)).select("h1", "h2", "o").join(changed, ["h1", "h2"])
     return joined.where("partner IS NOT NULL OR first < o").select("o.*", F.coalesce("partner", "first").alias("kept"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS, most_edits: int = MOST_EDITS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """One row per line to be removed: id, ``line_no`` from 0, ``kept_<id>`` and ``kept_line_no`` of an earlier line that makes it superfluous.
 
     Lines are compared in lower case with white space squeezed. A line goes if
-    an earlier one is equal or, where the shorter has ``near_chars`` characters
-    or more, within the edit bound (Levenshtein, on characters): one edit for
-    every CHARS_PER_EDIT characters of the shorter, one at least and
-    ``most_edits`` at most. Earlier means by id (null last), then by a hash of
+    an earlier one is equal or within the edit bound (Levenshtein, on
+    characters): one edit for each ``chars_per_edit`` characters of the shorter,
+    ``most_edits`` at most. Lines of any length are compared whole. Earlier means by id (null last), then by a hash of
     id and text, then by line number. The kept line named is the earliest within
     the bound, but not equal, if there is one before it, else the earliest
     equal one. Blank lines stay. Null and empty texts have no
-    lines; rows alike in id and text count as one; other columns are ignored.
+    lines, nor has an empty table; rows alike in id and text count as one; other
+    columns are ignored.
     """
-    r = repeated_lines(docs, id_col, text_col, near_chars, most_edits).select("d", "k", "pos", "kept").dropDuplicates(["d", "k", "pos"])
+    r = repeated_lines(docs, id_col, text_col, most_edits, chars_per_edit).select("d", "k", "pos", "kept").dropDuplicates(["d", "k", "pos"])
     return r.select(F.col("d").alias(id_col), F.col("pos").alias("line_no"), F.col("kept.d").alias(f"kept_{id_col}"), F.col("kept.pos").alias("kept_line_no"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", near_chars: int = NEAR_CHARS, most_edits: int = MOST_EDITS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", most_edits: int = MOST_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """The documents without the lines that :func:`line_dedup` removes; ``length_col`` follows.
 
     A document none of whose lines with text remain goes; one that had none
     from the start stays as it is. All other columns are kept.
     """
     columns = docs.columns
-    gone = repeated_lines(docs, id_col, text_col, near_chars, most_edits).groupBy(F.col("d").alias("gd"), F.col("k").alias("gk")).agg(F.collect_set("pos").alias("gone"))
+    gone = repeated_lines(docs, id_col, text_col, most_edits, chars_per_edit).groupBy(F.col("d").alias("gd"), F.col("k").alias("gk")).agg(F.collect_set("pos").alias("gone"))
     whole = packed(docs, **{KEY: row_key(docs, id_col, text_col), "__id": docs[id_col]})
     joined = whole.join(gone, (F.col(KEY) == F.col("gk")) & F.col("__id").eqNullSafe(F.col("gd")), "left")
     lines = F.split(F.col(ROW)[text_col].cast("string"), "\n")
@@ -323,9 +342,9 @@ l AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS o FROM lines WHERE t
 d AS (SELECT t, min(o) AS o, length(t) AS m FROM l GROUP BY t),
 v AS (SELECT t, o, m, p, substr(t, 1, p - 1) || substr(t, p + 1) AS w FROM d, range(1, m + 1) AS r(p)),
 pairs AS (
-  SELECT a.t, b.o FROM v a JOIN v b ON a.w = b.w AND a.p = b.p AND a.m = b.m AND b.o < a.o AND a.m >= {NEAR_CHARS}
-  UNION ALL SELECT a.t, b.o FROM v a JOIN d b ON a.w = b.t AND b.o < a.o AND b.m >= {NEAR_CHARS}
-  UNION ALL SELECT a.t, b.o FROM d a JOIN v b ON b.w = a.t AND b.o < a.o AND a.m >= {NEAR_CHARS}
+  SELECT a.t, b.o FROM v a JOIN v b ON a.w = b.w AND a.p = b.p AND a.m = b.m AND b.o < a.o AND a.m >= {CHARS_PER_EDIT}
+  UNION ALL SELECT a.t, b.o FROM v a JOIN d b ON a.w = b.t AND b.o < a.o AND b.m >= {CHARS_PER_EDIT}
+  UNION ALL SELECT a.t, b.o FROM d a JOIN v b ON b.w = a.t AND b.o < a.o AND a.m >= {CHARS_PER_EDIT}
 ),
 n AS (SELECT t, min(o) AS o FROM pairs GROUP BY t),
 x AS (SELECT l.doc_id, l.pos, coalesce(n.o, d.o) AS kept FROM l JOIN d ON l.t = d.t LEFT JOIN n ON l.t = n.t WHERE n.o IS NOT NULL OR d.o < l.o)
