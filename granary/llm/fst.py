@@ -34,6 +34,10 @@ INF = np.int64(1 << 40)
 BATCH_CHARS = 40
 #: Most words in the memo; beyond it the memo starts afresh (results don't depend on it).
 MEMO = 300_000
+#: Characters relaxed together, words of like length side by side.
+CHARS = 50_000
+#: Ids decoded together, or those of one longer text.
+DECODE = 100_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -95,6 +99,55 @@ def _double_array(blob: bytes) -> dict[str, str]:
     return rules
 
 
+class Lookup:
+    """Values by integer key, found by two reads of a table (cuckoo hashing), for many keys at once; ``missing`` for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.missing, bits, seed = missing, max(4, int(len(keys) * 2.2).bit_length()), 0
+        while True:
+            seed += 1
+            self.shift = np.uint64(64 - bits)
+            self.mul = [np.uint64(((2 * seed + k) * 0x9E3779B97F4A7C15 | 1) & 0xFFFFFFFFFFFFFFFF) for k in (0, 1)]
+            table = self._place(keys, 1 << bits)
+            if table is not None:
+                break
+            if seed % 8 == 0:
+                bits += 1
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = np.full(1 << bits, missing, dtype=np.int64)
+        for slot, i in table.items():
+            self.keys[slot], self.values[slot] = keys[i], values[i]
+
+    def _slots(self, keys: np.ndarray, k: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * self.mul[k]) >> self.shift).astype(np.int64)
+
+    def _place(self, keys: np.ndarray, size: int) -> dict[int, int] | None:
+        slots = list(zip(self._slots(keys, 0).tolist(), self._slots(keys, 1).tolist()))
+        table: dict[int, int] = {}
+        for i in range(len(keys)):
+            at, item = slots[i][0], i
+            for _ in range(200):
+                item, table[at] = table.get(at), item
+                if item is None:
+                    break
+                a, b = slots[item]
+                at = b if at == a else a
+            else:
+                return None
+        return table
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        a = self._slots(keys, 0)
+        out = np.where(self.keys[a] == keys, self.values[a], self.missing)
+        rest = np.flatnonzero(out == self.missing)
+        if len(rest):
+            left = keys[rest]
+            b = self._slots(left, 1)
+            out[rest] = np.where(self.keys[b] == left, self.values[b], self.missing)
+        return out
+
+
 class Machine:
     """Encoder and decoder compiled from the bytes of a model file."""
 
@@ -151,6 +204,9 @@ class Machine:
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL,) else (" ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode())
             for p, t in zip(self.pieces, self.types)
         ]
+        self.out_size = np.array([len(x) for x in self.decoded], dtype=np.int64)
+        self.out_start = np.cumsum(self.out_size) - self.out_size
+        self.out_bytes = np.frombuffer(b"".join(self.decoded), dtype=np.uint8)
         n = len(self.pieces)
         # runs of the space mark with the least scores are merged last, leftmost first
         self.runs = {1: self.id_of.get(SPACE, self.unk)}
@@ -178,8 +234,7 @@ class Machine:
                     keys.append(states[p[: k - 1]] * width + self.alphabet[p[k - 1]])
                     to.append(states[p[:k]])
         order = np.argsort(np.array(keys, dtype=np.int64))
-        self.trie_keys = np.array(keys, dtype=np.int64)[order]
-        self.trie_to = np.array(to, dtype=np.int64)[order]
+        self.step = Lookup(np.array(keys, dtype=np.int64)[order], np.array(to, dtype=np.int64)[order], -1)
         self.emits = np.full(len(states), -1, dtype=np.int64)
         for i in arcs:
             self.emits[states[self.pieces[i]]] = i
@@ -223,9 +278,7 @@ class Machine:
                 symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
             self.reachable[i] = len(symbols) == 1
         keys = np.array(sorted(pair), dtype=np.int64)
-        self.pair_keys = keys
-        self.pair_ranks = np.array([pair[k] for k in keys.tolist()], dtype=np.int64)
-        self.pair = pair
+        self.pair_rank = Lookup(keys, np.array([pair[k] for k in keys.tolist()], dtype=np.int64), int(INF))
 
     # -- the normaliser
 
@@ -260,9 +313,7 @@ class Machine:
         live = np.flatnonzero((a < n1 - 1) & (b < n1 - 1))
         a, b, limit = a[live], b[live], np.full(len(live), INF)
         while len(live):
-            key = a * n1 + b
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            crosses = (self.pair_keys[at] == key) & (self.pair_ranks[at] < limit)
+            crosses = self.pair_rank(a * n1 + b) < limit
             ok[live[crosses]] = False
             ra, rb = self.rank[a], self.rank[b]
             go = ~crosses & ((ra > 0) | (rb > 0))
@@ -302,10 +353,9 @@ class Machine:
         single = np.zeros(len(part), dtype=bool)
         base = np.arange(len(part))
         for k in range(self.longest):
-            key = state * self.width + chars[part, at]
-            hit = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
-            go = self.trie_keys[hit] == key
-            part, start, at, base, state = part[go], start[go], at[go], base[go], self.trie_to[hit[go]]
+            state = self.step(state * self.width + chars[part, at])
+            go = state >= 0
+            part, start, at, base, state = part[go], start[go], at[go], base[go], state[go]
             piece = self.emits[state]
             final = piece >= 0
             found.append((part[final], start[final], at[final] + 1, piece[final]))
@@ -437,16 +487,6 @@ class Machine:
                 k -= 1
         return [self.runs[n] for n in out]
 
-    def _cut(self, bare: str) -> list[str]:
-        """The word after its mark, cut into parts between which no piece reaches."""
-        joined = self.joined
-        if len(bare) < BATCH_CHARS:
-            if bare.isalpha():
-                return [SPACE + bare]
-            if bare[:-1].isalpha() and bare[-2:] not in joined:
-                return [SPACE + bare[:-1], bare[-1]]
-        return self._cut_all(SPACE + bare)
-
     def _cut_all(self, word: str) -> list[str]:
         out, at, joined = [], 0, self.joined
         for k in range(1, len(word)):
@@ -456,30 +496,47 @@ class Machine:
         out.append(word[at:])
         return out
 
+    def _parts(self, bare: str) -> tuple[str, list[str]]:
+        """A word after its mark, cut where no piece reaches over: its first part without the mark, which is a word of its own, and the others."""
+        first, *others = self._cut_all(SPACE + bare)
+        return first[1:], others
+
     def learn(self, words: set[str]) -> None:
         """Puts words into the memo. A word is what stands between two spaces, and stands for itself after one mark; leading marks in it are further spaces."""
-        known = self.memo_parts
-        plain, rest = [], []
+        known, memo, joined = self.memo_parts, self.memo, self.joined
+        whole = {w for w in words if w.isalpha() and len(w) < BATCH_CHARS}
+        cut: list[tuple[str, str, list[str]]] = []
+        marked: list[tuple[str, int, str]] = []
         new: set[str] = set()
-        for w in words:
-            if w and w[0] != SPACE:
-                parts = self._cut(w)
-                new.update(parts)
-                plain.append((w, parts))
+        for w in words.difference(whole):
+            body = w[:-1]
+            if body.isalpha() and len(w) < BATCH_CHARS and w[-2:] not in joined:
+                first, others = body, [w[-1]]
+            elif w and w[0] != SPACE:
+                first, others = self._parts(w)
             else:
                 bare = w.lstrip(SPACE)
-                parts = self._cut(bare) if bare else []
-                new.update(parts)
-                rest.append((w, len(w) - len(bare), bare, parts))
-        todo = sorted(new.difference(known), key=len)
-        for at in range(0, len(todo), 20_000):
-            some = todo[at : at + 20_000]
-            known.update(zip(some, self.paths(some)))
-        memo = self.memo
-        for w, parts in plain:
-            memo[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-        for w, extra, bare, parts in rest:
-            body = b"".join([known[p] for p in parts])
+                marked.append((w, len(w) - len(bare), bare))
+                if not bare or bare in memo:
+                    continue
+                w = bare
+                first, others = self._parts(bare)
+            if first != w or others:
+                cut.append((w, first, others))
+            if first not in memo:
+                whole.add(first)
+            new.update(others)
+        # a part that stands alone keeps its own memo, as it has no mark
+        for store, todo, mark in ((memo, sorted(whole.difference(memo), key=len), SPACE), (known, sorted(new.difference(known), key=len), "")):
+            at = 0
+            while at < len(todo):
+                some = todo[at : at + max(1, CHARS // (len(todo[at]) + 1))]
+                store.update(zip(some, self.paths([mark + w for w in some] if mark else some)))
+                at += len(some)
+        for w, first, others in cut:
+            memo[w] = memo[first] + (known[others[0]] if len(others) == 1 else b"".join([known[p] for p in others]))
+        for w, extra, bare in marked:
+            body = memo[bare] if bare else b""
             if not bare:
                 ids = self._run(extra + 1)
             elif int(np.frombuffer(body[: self.dtype().itemsize], dtype=self.dtype)[0]) == self.runs[1]:
@@ -532,8 +589,26 @@ class Machine:
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse: pieces' outputs joined, marks as spaces, the dummy prefix taken off; bytes that aren't UTF-8 become U+FFFD."""
-        text = b"".join([self.decoded[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+        return self.decode_all(np.asarray(ids), np.array([len(ids)]))[0]
+
+    def decode_all(self, flat: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """:meth:`decode` of consecutive runs of ids: outputs are copied from one flat table of bytes, some DECODE ids at a time."""
+        out: list[str] = []
+        ends = np.cumsum(lengths)
+        row = at = 0
+        while row < len(lengths):
+            to = max(row + 1, int(np.searchsorted(ends, at + DECODE, side="right")))
+            ids = flat[at : int(ends[to - 1])]
+            size = self.out_size[ids]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            raw = self.out_bytes[np.repeat(self.out_start[ids] - upto[:-1], size) + np.arange(int(upto[-1]))].tobytes()
+            stops = upto[ends[row:to] - at].tolist()
+            for a, b in zip([0, *stops], stops):
+                if self.dummy_prefix and a < b and raw[a] == 32:
+                    a += 1
+                out.append(raw[a:b].decode("utf-8", "replace"))
+            row, at = to, int(ends[to - 1])
+        return out
 
 
 @lru_cache(maxsize=4)

@@ -47,7 +47,7 @@ def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
             flat = np.concatenate(kept).astype(np.int32) if kept else np.zeros(0, np.int32)
             mask = pa.array(missing) if missing.any() else None
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=mask)
-            decoded = pa.array([None if a is None else m.decode(a) for a in arrays], pa.string())
+            decoded = pa.array(m.decode_all(flat, lengths), pa.string(), mask=missing)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(lengths.astype(np.int32), mask=missing), decoded], names=[id_col, "ids", "n_tokens", "decoded"])
 
     return picked.mapInArrow(run, schema)
