@@ -1,4 +1,5 @@
 import random
+import re
 
 from granary.llm import toxicity as X
 
@@ -49,10 +50,65 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
 
 
 def test_nothing_is_toxic_where_nothing_tells_toxic_documents_apart(spark):
-    P = [X.features("zork mild tone")] * 20
-    assert X.scorer(X.train(P, P, 0.5))("zork mild tone") < 0
     docs = spark.createDataFrame([(i, "the same text") for i in range(4)], "doc_id long, text string")
     assert X.toxicity(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).where("toxic = 1").count() == 0
+    assert X.toxicity(docs, spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, toxic int")).where("toxic = 1").count() == 0
+
+
+def test_features_against_brute_force():
+    """Words and their 4- and 5-letter parts, edges marked, are told apart as a set of strings tells them."""
+
+    def strings(text):
+        out = set()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            marked = f"<{word}>"
+            out.add(("w", word))
+            out |= {(n, marked[i : i + n]) for n in (4, 5) for i in range(len(marked) - n + 1)}
+        return out
+
+    rng = random.Random(8)
+    seen = {}
+    for _ in range(60):
+        text = "".join(rng.choice("abcdé 日𐐷ß_1.\n") for _ in range(rng.randrange(120)))
+        for s in strings(text):
+            seen.setdefault(s, X.features(s[1]).tolist() if s[0] == "w" else None)
+        whole = X.features(text).tolist()
+        assert whole == sorted(set(whole)) and len(whole) <= len(strings(text)) and len(whole) >= len(strings(text)) - 1
+        assert whole == sorted({b for w in re.findall(r"[^\W\d_]+", text.lower()) for b in X.features(w).tolist()})
+    assert X.features(None).tolist() == X.features("").tolist() == X.features("1 2 _").tolist() == []
+
+
+def test_long_text_is_read_whole(monkeypatch):
+    text = "some words of a longer text " * 300
+    whole = X.features(text).tolist()
+    monkeypatch.setattr(X, "PART", 50)
+    assert X.features(text).tolist() == whole and X.features("x" * 5_000).tolist() == X.features("x" * 5_000).tolist()
+
+
+def test_evidence_against_toxicity_is_learned():
+    rng = random.Random(1)
+    U = [X.features(" ".join(rng.choice(["calm", "gentle", "kind", "plain"]) for _ in range(5))) for _ in range(200)]
+    P = [X.features("zorkish plain")] * 30
+    (kept, w, _), _ = X.fit_folds(P, U + P[:5], 0.1)
+    weight = dict(zip(kept.tolist(), w.tolist()))
+    assert all(weight[b] > 0 for b in X.features("zorkish").tolist()) and min(weight[b] for b in X.features("gentle").tolist()) < 0
+
+
+def test_sample_bounds_rows_and_many_chunks_agree(spark, monkeypatch):
+    docs = corpus(900)
+    repeated = [(docs[0][0], docs[0][1])] * 500
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs] + repeated, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs[:450]] + [(docs[0][0], 1)], "doc_id long, toxic int")
+    asked = []
+    monkeypatch.setattr(X, "choose_cut", lambda zp, zu, c, prior: asked.append((len(zp), c.sum())) or 0.0)
+    X.fit(df, labels, sample=40)
+    assert asked == [(40, 2 * (len(docs) + 500))]
+    monkeypatch.undo()
+    monkeypatch.setattr(X, "CHUNK", 256)
+    plain = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    got = {r.doc_id: r.toxic for r in X.toxicity(plain, labels.where("doc_id != 0")).collect()}
+    held = [(got[i], y) for i, _, y in docs[450:]]
+    assert sum(a for a, y in held if y) / sum(y for _, y in held) >= 0.95 and sum(a for a, y in held if not y) <= 4
 
 
 def test_step_climbs_out_of_a_negative_risk():
@@ -64,14 +120,16 @@ def test_step_climbs_out_of_a_negative_risk():
     assert 0 <= w[0] < 12 and w[0] + b > b
 
 
-def test_cut_maximises_recall_squared_over_share():
+def test_cut_lies_where_unlabelled_documents_are_few():
     import numpy as np
 
     zp, zu = np.array([3.0, 2.5, 2.0, 1.9]), np.concatenate([np.full(90, -3.0), np.linspace(1.8, 3.2, 10)])
     assert -3 < X.choose_cut(zp, zu) <= 1.9
 
 
-def test_packed_features():
-    for text in ("", "one word or two " * 50):
-        f = X.features(text)
-        assert X.unpacked(X.packed(f)).tolist() == f.tolist()
+def test_cut_counts_each_margin_as_often_as_it_occurs():
+    import numpy as np
+
+    zp, zu = np.array([2.0, 2.5, 3.0]), np.array([-1.0, 2.0, 2.2, 3.0])
+    n = np.array([50, 2, 1, 3])
+    assert X.choose_cut(zp, zu, n) == X.choose_cut(zp, np.repeat(zu, n))
