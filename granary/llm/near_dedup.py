@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +16,21 @@ SHINGLE = 2
 THRESHOLD = 0.5
 #: Bands and samples in a band: two texts of similarity s meet with probability 1 - (1 - s^ROWS)^BANDS, 0.89 at s = 0.6 and 0.99 at 0.7.
 BANDS, ROWS = 16, 4
-#: Document frequencies are counted by hashed shingle, as a hashing TF-IDF does, so that their table is as large for any corpus.
-DF_BITS = 18
-#: Rows of the table of random variates; a shingle takes the row that its hash names.
-DRAWS_BITS = 16
+#: A shingle that fewer than one document in RARE has weighs as if one in RARE had it. Those that more have are counted one by one, and there can't be more of them than RARE times the shingles of a document, however many documents there are.
+RARE = 256
+#: Documents in which frequent shingles are looked for together.
+TOGETHER = 4_096
 #: Least weight of a shingle, that of one which every document has.
 FLOOR = 0.1
 SEED = 6021
-MEMO = 400_000
 #: Shingles sampled together, so that memory doesn't grow with a text.
-CHUNK = 8_192
+CHUNK = 4_096
+#: Bits of a hash that choose a quantile of r, of ln c and of beta.
+QUANTILE_BITS = (16, 8, 8)
 
-_STRIP = re.compile(r"[\W_]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_ODD = 0x9E3779B97F4A7C15
+_cache: dict[str, tuple] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,54 +40,114 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-class _Words(dict):
-    """Hash of a token's letters and digits in lower case; 0 if it has none."""
-
-    def __missing__(self, token: str) -> int:
-        word = _STRIP.sub("", token.lower())
-        self[token] = h = (xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) | 1) if word else 0
-        return h
-
-
-_words = _Words()
+def _classes(points: np.ndarray) -> np.ndarray:
+    """1 for white space, 2 for letters and digits, 0 for others."""
+    if "classes" not in _cache:
+        _cache["classes"] = (np.array([1 if chr(c).isspace() else 2 if chr(c).isalnum() else 0 for c in range(1 << 16)], dtype=np.uint8),)
+    (known,) = _cache["classes"]
+    if not len(points) or points.max() < 1 << 16:
+        return known[points]
+    out = known[np.minimum(points, (1 << 16) - 1)]
+    for at in np.flatnonzero(points >= 1 << 16).tolist():
+        out[at] = 2 * chr(int(points[at])).isalnum()
+    return out
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if "powers" not in _cache or len(_cache["powers"][0]) < n:
+        size = max(n, 1 << 13)
+        with np.errstate(over="ignore"):
+            _cache["powers"] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, dtype=np.uint64)]) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    up, down = _cache["powers"]
+    return up[:n], down[:n]
+
+
+def words(text: str) -> np.ndarray:
+    """Hashes of the words of a text, what stands between white space, by their letters and digits in lower case; those without any are left out."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kind = _classes(points)
+    at = np.flatnonzero(kind == 2)
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    token = np.cumsum(kind == 1, dtype=np.int64)[at]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    up, down = _powers(len(at) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(at) + 1, dtype=np.uint64)
+        np.cumsum(points[at] * up[:-1], dtype=np.uint64, out=sums[1:])
+        return _mix((sums[np.r_[first[1:], len(at)]] - sums[first]) * down[first])
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(32-bit hashes in order, counts) of a text's shingles; a text of fewer words is one shingle."""
-    if len(_words) > MEMO:
-        _words.clear()
-    tokens = (text or "").split()
-    h = np.fromiter(map(_words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    h = h[h != 0]
+    h = words(text or "")
     if not len(h):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     n = min(SHINGLE, len(h))
     s = np.zeros(len(h) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        s = _mix(s ^ (h[k : len(h) - n + 1 + k] + np.uint64(k)))
-    return np.unique((s >> np.uint64(32)).astype(np.uint32), return_counts=True)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            s = _mix(s ^ (h[k : len(h) - n + 1 + k] + np.uint64(k)))
+    s = (s >> np.uint64(32)).astype(np.uint32)
+    s.sort()
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    return s[first], np.diff(np.r_[first, len(s)])
+
+
+class Frequencies:
+    """ln((N + 1) / (df + 1)) + FLOOR by shingle, N being the number of documents with a word and df at least N / RARE."""
 
+    def __init__(self, total: int, shingle: np.ndarray, df: np.ndarray):
+        least = max(1.0, total / RARE)
+        often = df >= least
+        order = np.argsort(shingle[often])
+        self.shingle = shingle[often][order].astype(np.uint32)
+        self.weight = np.log((total + 1) / (df[often][order] + 1)) + FLOOR
+        self.rare = float(np.log((total + 1) / (least + 1)) + FLOOR)
 
-def bucket(s: np.ndarray) -> np.ndarray:
-    return s >> np.uint32(32 - DF_BITS)
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shingle):
+            return np.full(len(s), self.rare)
+        at = np.minimum(np.searchsorted(self.shingle, s), len(self.shingle) - 1)
+        return np.where(self.shingle[at] == s, self.weight[at], self.rare)
 
 
-def weights(s: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return count * idf[bucket(s)]
+def weights(s: np.ndarray, count: np.ndarray, idf: Frequencies) -> np.ndarray:
+    return count * idf(s)
 
 
-_draws: dict[int, tuple] = {}
+def quantiles() -> tuple[np.ndarray, ...]:
+    """Middle quantiles of r, of ln c (both from Gamma(2, 1)) and of beta (uniform), and a multiplier and an offset for each draw."""
+    if "draws" not in _cache:
 
+        def gamma(bits: int) -> np.ndarray:
+            q = (np.arange(1 << bits) + 0.5) / (1 << bits)
+            low, high = np.zeros(len(q)), np.full(len(q), 60.0)
+            for _ in range(60):  # 1 - (1 + x) e^-x = q by halving
+                x = (low + high) / 2
+                below = 1 - (1 + x) * np.exp(-x) < q
+                low, high = np.where(below, x, low), np.where(below, high, x)
+            return (low + high) / 2
 
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """1/r, r and beta, and ln c of the sampling, with r and c from Gamma(2, 1) and beta uniform."""
-    if 0 not in _draws:
         rng = np.random.Generator(np.random.PCG64(SEED))
-        shape = (1 << DRAWS_BITS, BANDS * ROWS)
-        r = rng.standard_gamma(2.0, shape, dtype=np.float32) + np.float32(1e-6)
-        lnc = np.log(rng.standard_gamma(2.0, shape, dtype=np.float32) + np.float32(1e-12))
-        _draws[0] = (r, rng.random(shape, dtype=np.float32), lnc)
-    return _draws[0]
+        mul, add = (rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) for _ in range(2))
+        a, b, c = QUANTILE_BITS
+        beta = ((np.arange(1 << c) + 0.5) / (1 << c)).astype(np.float32)
+        _cache["draws"] = (gamma(a).astype(np.float32), np.log(gamma(b)).astype(np.float32), beta, mul | np.uint32(1), add)
+    return _cache["draws"]
+
+
+def variates(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and beta of each shingle and draw, from a hash of both."""
+    r, lnc, beta, mul, add = quantiles()
+    h = s[:, None] * mul + add
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x846CA68B)
+    h ^= h >> np.uint32(16)
+    a, b, c = QUANTILE_BITS
+    return r[h & np.uint32((1 << a) - 1)], lnc[(h >> np.uint32(a)) & np.uint32((1 << b) - 1)], beta[h >> np.uint32(a + b)]
 
 
 def samples(s: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -98,72 +157,91 @@ def samples(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     shingle with the least a is chosen, and two sets choose alike with the
     probability of their weighted Jaccard similarity.
     """
-    r_, beta_, lnc_ = draws()
     k = BANDS * ROWS
     best, chosen, level = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64), np.zeros(k, np.int64)
     every = np.arange(k)
     for at in range(0, len(s), CHUNK):
         sh, lw = s[at : at + CHUNK], np.log(w[at : at + CHUNK]).astype(np.float32)
-        row = sh & np.uint32((1 << DRAWS_BITS) - 1)
-        r, beta = r_[row], beta_[row]
+        r, lnc, beta = variates(sh)
         t = np.floor(lw[:, None] / r + beta)
-        a = lnc_[row] - r * (t - beta + np.float32(1))
+        a = lnc - r * (t - beta + np.float32(1))
         i = a.argmin(axis=0)
         least = a[i, every]
         better = least < best
         best = np.where(better, least, best)
         chosen = np.where(better, sh[i].astype(np.uint64), chosen)
         level = np.where(better, t[i, every].astype(np.int64), level)
-    return _mix(chosen * np.uint64(0x9E3779B97F4A7C15) + level.astype(np.uint64))
+    with np.errstate(over="ignore"):
+        return _mix(chosen * np.uint64(_ODD) + level.astype(np.uint64))
 
 
 def bands(s: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = samples(s, w).reshape(BANDS, ROWS)
     h = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) ^ x[:, k])
+    with np.errstate(over="ignore"):
+        for k in range(ROWS):
+            h = _mix(h * np.uint64(_ODD) ^ x[:, k])
     return h.view(np.int64)
 
 
 def blob(s: np.ndarray, count: np.ndarray) -> bytes:
-    """Shingles and counts of a text, 6 bytes each (a count beyond 65535 stays there)."""
-    return s.astype("<u4").tobytes() + np.minimum(count, 65535).astype("<u2").tobytes()
+    """Shingles and counts of a text, 8 bytes each."""
+    return s.astype("<u4").tobytes() + count.astype("<u4").tobytes()
 
 
 def unblob(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(b) // 6
-    return np.frombuffer(b, "<u4", n), np.frombuffer(b, "<u2", n, 4 * n).astype(np.int64)
+    n = len(b) // 8
+    return np.frombuffer(b, "<u4", n), np.frombuffer(b, "<u4", n, 4 * n).astype(np.int64)
 
 
-def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray) -> float:
+def weighted_jaccard(a: tuple, b: tuple, idf: Frequencies) -> float:
     (sa, ca), (sb, cb) = a, b
     both, ia, ib = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
-    least = float((np.minimum(ca[ia], cb[ib]) * idf[bucket(both)]).sum())
+    least = float((np.minimum(ca[ia], cb[ib]) * idf(both)).sum())
     total = float(weights(sa, ca, idf).sum() + weights(sb, cb, idf).sum())
     return least / (total - least) if total > least else float(total > 0)
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln((N + 1) / (df + 1)) + FLOOR by hashed shingle, counted over all documents (2^DF_BITS rows come to the driver, for any corpus)."""
-    size = 1 << DF_BITS
+def inverse_frequencies(texts: DataFrame) -> Frequencies:
+    """Counted over all documents, in two passes: a shingle that one document in RARE has is as frequent in some TOGETHER of them, so those that are come first and are then counted exactly. The driver gets no more of them than there can be."""
+    size = texts.count()
+    texts = texts.select("t").coalesce(max(1, size // TOGETHER))
+
+    def frequent(frames):
+        out, held = [], []
+
+        def close(some):
+            s, c = np.unique(np.concatenate(some), return_counts=True)
+            out.append(s[c * RARE >= len(some)])
+
+        for f in frames:
+            held += [s for s in (shingles(t)[0] for t in f["t"]) if len(s)]
+            while len(held) >= 2 * TOGETHER:
+                close(held[:TOGETHER])
+                held = held[TOGETHER:]
+        if held:
+            close(held)
+        yield pd.DataFrame({"s": np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)})
+
+    found = texts.mapInPandas(frequent, "s long").distinct().toPandas()["s"].to_numpy()
+    candidates = texts.sparkSession.sparkContext.broadcast(np.sort(found).astype(np.uint32))
 
     def count(frames):
-        n, df = 0, np.zeros(size, np.int64)
+        known = candidates.value
+        n, df = 0, np.zeros(len(known) + 1, np.int64)
         for f in frames:
             for t in f["t"]:
                 s, _ = shingles(t)
-                if len(s):
-                    n += 1
-                    df[np.unique(bucket(s))] += 1
+                n += len(s) > 0
+                if len(s) and len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    df[at[known[at] == s]] += 1
         i = np.flatnonzero(df)
-        yield pd.DataFrame({"b": np.r_[-1, i], "n": np.r_[n, df[i]]})
+        yield pd.DataFrame({"s": np.r_[-1, known[i].astype(np.int64)], "n": np.r_[n, df[i]]})
 
-    rows = texts.select("t").mapInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    df, total = np.zeros(size), 0
-    inside = rows["b"] >= 0
-    df[rows["b"][inside]] = rows["n"][inside]
-    total = int(rows["n"][~inside].sum())
-    return np.log((total + 1) / (df + 1)) + FLOOR
+    rows = texts.mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    inside = (rows["s"] >= 0).to_numpy()
+    return Frequencies(int(rows["n"][~inside].sum()), rows["s"].to_numpy()[inside], rows["n"].to_numpy()[inside])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Groups are the connected components of pairs with a weighted Jaccard
     similarity of ``threshold`` or more; the one with the least id (null last)
-    stays. Texts are compared by the letters and digits of their words in lower
+    stays. Texts of any length are compared whole, an empty table has no copies. Texts are compared by the letters and digits of their words in lower
     case. A null text, or one without a word, is no one's copy. Rows alike in id
     and text count as one; rows that share an id but not the text are different
     documents. Columns other than the id and the text are ignored.
@@ -268,9 +346,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each group left; of rows alike in id and text, unless it has no word, one is left too."""
-    k = near_pairs(docs, id_col, text_col, threshold).where("NOT (d <=> kd AND v = kv)").select(F.col("d").alias("gd"), F.col("v").alias("gv"))
-    whole = packed(docs, **{KEY: F.xxhash64(docs[text_col].cast("string")), "__id": docs[id_col], "__bare": F.coalesce(~docs[text_col].cast("string").rlike(r"[\p{L}\p{N}]"), F.lit(True))})
-    left = whole.join(k, (F.col(KEY) == F.col("gv")) & F.col("__id").eqNullSafe(F.col("gd")), "left_anti")
+    name = lambda c: F.xxhash64(F.col(c).isNull(), F.col(c).cast("string"))
+    k = near_pairs(docs, id_col, text_col, threshold).where("NOT (d <=> kd AND v = kv)").select(name("d").alias("gd"), F.col("v").alias("gv"))
+    bare = F.coalesce(~docs[text_col].cast("string").rlike(r"[\p{L}\p{N}]"), F.lit(True))
+    whole = packed(docs, **{KEY: F.xxhash64(docs[text_col].cast("string")), "__id": docs[id_col], "__bare": bare}).withColumn("__id", name("__id"))
+    # the join and the window lie by the same two hashes, so a text moves once
+    left = whole.join(k, (F.col(KEY) == F.col("gv")) & (F.col("__id") == F.col("gd")), "left_anti")
     left = left.withColumn("__n", F.row_number().over(Window.partitionBy(KEY, "__id").orderBy("__bare"))).where("__bare OR __n = 1")
     return left.select(*[F.col(ROW)[c].alias(c) for c in docs.columns])
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -10,14 +11,28 @@ def vocabulary(rng, n):
     return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n)]
 
 
+def bigrams(text):
+    """Shingles as strings, without the operator's hashes."""
+    w = [x for x in ("".join(c for c in token.lower() if c.isalnum()) for token in (text or "").split()) if x]
+    return Counter(zip(w, w[1:]) if len(w) > 1 else [tuple(w)] if w else [])
+
+
+def similarity(a, b, idf):
+    low = sum(min(a[s], b[s]) * idf(s) for s in a.keys() & b.keys())
+    high = sum(max(a[s], b[s]) * idf(s) for s in a.keys() | b.keys())
+    return low / high
+
+
+def frequencies(made):
+    df = Counter(s for m in made for s in m)
+    return lambda s: math.log((len(made) + 1) / (max(df[s], 1, len(made) / N.RARE) + 1)) + N.FLOOR
+
+
 def brute(rows):
     """Kept document by removed one, from all pairs; ids are unique and not null here."""
-    docs = sorted((d, t) for d, t in rows if t and N.shingles(t)[0].size)
-    made = [N.shingles(t) for _, t in docs]
-    df = np.zeros(1 << N.DF_BITS)
-    for s, _ in made:
-        df[np.unique(N.bucket(s))] += 1
-    idf = np.log((len(docs) + 1) / (df + 1)) + N.FLOOR
+    docs = sorted((d, t) for d, t in rows if bigrams(t))
+    made = [bigrams(t) for _, t in docs]
+    idf = frequencies(made)
     parent = list(range(len(docs)))
 
     def find(x):
@@ -26,7 +41,7 @@ def brute(rows):
         return x
 
     for i, j in itertools.combinations(range(len(docs)), 2):
-        if N.weighted_jaccard(made[i], made[j], idf) >= N.THRESHOLD:
+        if made[i].keys() & made[j].keys() and similarity(made[i], made[j], idf) >= N.THRESHOLD:
             a, b = find(i), find(j)
             parent[max(a, b)] = min(a, b)
     return {docs[i][0]: docs[find(i)][0] for i in range(len(docs)) if find(i) != i}
@@ -72,14 +87,40 @@ def test_table_with_nulls_ties_repeats_and_clashing_columns(spark):
 
 def test_samples_agree_as_often_as_weighted_jaccard_says():
     rng = np.random.default_rng(2)
-    idf = np.ones(1 << N.DF_BITS)
-    agree = want = 0
-    for _ in range(60):
-        s = np.unique(rng.integers(0, 1 << 32, 300, dtype=np.uint32))
-        ca, cb = rng.integers(1, 6, len(s)), rng.integers(1, 6, len(s))
-        agree += (N.samples(s, ca.astype(float)) == N.samples(s, cb.astype(float))).mean()
-        want += N.weighted_jaccard((s, ca), (s, cb), idf)
-    assert abs(agree - want) / 60 < 0.02
+    idf = N.Frequencies(10, np.zeros(0, np.uint32), np.zeros(0))
+    for size, times in ((300, 60), (60_000, 4)):
+        agree = want = 0
+        for _ in range(times):
+            s = np.unique(rng.integers(0, 1 << 32, size, dtype=np.uint32))
+            ca, cb = rng.integers(1, 6, len(s)), rng.integers(1, 6, len(s))
+            ca[0] = 200_000  # no count is clipped
+            agree += (N.samples(s, ca.astype(float)) == N.samples(s, cb.astype(float))).mean()
+            want += N.weighted_jaccard(N.unblob(N.blob(s, ca)), (s, cb), idf)
+        assert abs(agree - want) / times < (0.02 if times > 9 else 0.08)
+
+
+def test_words_and_shingles_against_strings():
+    rng = random.Random(3)
+    for _ in range(80):
+        text = "".join(rng.choice("abAB é日𐐷ß1_.\u00a0\n\t'") for _ in range(rng.randrange(80)))
+        s, c = N.shingles(text)
+        want = bigrams(text)
+        assert len(s) == len(want) and sorted(c.tolist()) == sorted(want.values())
+        again = N.shingles(" ".join(w for w in ("".join(x for x in t.lower() if x.isalnum()) for t in text.split()) if w))
+        assert again[0].tolist() == s.tolist() and again[1].tolist() == c.tolist()
+
+
+def test_frequencies_are_exact_whatever_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(N, "RARE", 8)
+    monkeypatch.setattr(N, "TOGETHER", 16)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("a b c d e f g h i j k l m n o p".split()[: rng.choice([3, 16])]) for _ in range(rng.choice([2, 5, 30]))) for _ in range(300)] + [None, "", "?"]
+    made = [bigrams(t) for t in texts if bigrams(t)]
+    want = frequencies(made)
+    for parts in (1, 7):
+        got = N.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "t string").repartition(parts))
+        for s in {s for m in made for s in m} | {("never", "seen")}:
+            assert abs(float(got(N.shingles(" ".join(s))[0])[0]) - want(s)) < 1e-9
 
 
 def test_components(spark):
