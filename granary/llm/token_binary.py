@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from functools import lru_cache
 
@@ -22,6 +23,10 @@ LEVEL_BITS = 8
 RANK_BLOCK = 512
 #: A text is tokenised in one call up to this length, else cut where a pre-token surely ends.
 CUT = 200_000
+#: Runs of white space from this length on are encoded by themselves, as the pattern's look-ahead would go through them with a stack of their length.
+RUN = 1_000
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUNS = re.compile(f"{_WHITE}{{{RUN},}}")
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -113,15 +118,29 @@ def _pieces(text: str):
     yield text
 
 
+def _encoded(text: str, e) -> list[np.ndarray]:
+    return [e.encode_to_numpy(p, disallowed_special=()) for p in (_pieces(text) if len(text) > CUT else (text,)) if p]
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
+    """Ids of the whole text. Of a run of white space, all but the last character are one pre-token if something follows, else all."""
     e = byte_encoder(path)
-    return np.concatenate([e.encode_to_numpy(p, disallowed_special=()) for p in _pieces(text)]) if len(text) > CUT else e.encode_to_numpy(text, disallowed_special=())
+    if len(text) < RUN:
+        return e.encode_to_numpy(text, disallowed_special=())
+    out, at = [], 0
+    for run in _RUNS.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += [*_encoded(text[at : run.start()], e), np.array(e._encode_single_piece(text[run.start() : stop]), dtype=np.uint32)]
+        at = stop
+    out += _encoded(text[at:], e)
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def token_codes(docs: DataFrame, ranks_path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_tokens``, ``n_bytes`` and ``code``, its token ids as directly addressable codes.
 
-    A null text gives nulls, an empty text a code without levels. Repeated rows
+    A null text gives nulls, an empty text (of an empty table there is none) a
+    code without levels. A text of any length is encoded whole. Repeated rows
     give repeated rows; columns other than the id and the text are ignored.
     Nothing is shuffled or collected; a code is a document's own, so a reader
     needs one row to get at any of its tokens.

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -43,3 +44,30 @@ def test_table_with_nulls_empty_long_and_repeated_rows(spark):
     want = [(i, None if t is None else len(e.encode_ordinary(t)), None if t is None else e.encode_ordinary(t)) for i, t in rows]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert B.token_codes(df.limit(0)).count() == 0
+
+
+def test_a_million_characters_of_any_kind(monkeypatch):
+    e = B.byte_encoder(B.RANKS)
+    for text in (" " * 1_000_000, "\n" * 999_999 + "x", " \n" * 400_000 + " a", "a" * 1_000_000, "!" * 1_000_000, "日" * 300_000, "\u2003" * 1_000_000):
+        assert e.decode(B.token_ids(text, B.RANKS).tolist()) == text
+    # what the library still takes in one call is encoded alike with runs set apart
+    monkeypatch.setattr(B, "RUN", 3)
+    rng = random.Random(6)
+    for _ in range(60):
+        text = "".join(rng.choice([" " * rng.randrange(9), "\n" * rng.randrange(6), "\t", "word", "7", "!", "\x1c", "\u00a0"]) for _ in range(40))
+        assert B.token_ids(text, B.RANKS).tolist() == e.encode_ordinary(text)
+
+
+def test_code_bytes_against_a_plain_writer():
+    ids = [5, 300, 70_000, 0, 255, 256] * 90
+    levels, rest = [], ids
+    while rest:
+        levels.append(rest)
+        rest = [x >> 8 for x in rest if x >= 256]
+    want = b"DAC1" + struct.pack("<I", len(levels)) + b"".join(struct.pack("<I", len(x)) for x in levels)
+    for x in levels:
+        blocks = -(-len(x) // 512)
+        bits = sum((v >= 256) << k for k, v in enumerate(x)).to_bytes(blocks * 64, "little")
+        ranks = [sum(v >= 256 for v in x[: 512 * b]) for b in range(blocks)]
+        want += bytes(v & 255 for v in x) + bits + struct.pack(f"<{blocks}I", *ranks)
+    assert B.dac_encode(np.array(ids)) == want
