@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import rows_of, table
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.9
@@ -134,10 +134,17 @@ class Scanner:
         """(Dice coefficient, first word, last word) of the best window, from one template bigram to another.
 
         A window that has its first bigram again is no better than the one
-        without its first word, so none grows that far.
+        without its first word, so none grows that far. Where the words that the
+        last look from the same bigram went over come again, so would its result,
+        and that is later; so text that repeats costs a comparison of lists.
         """
         best = None
+        looked: dict[tuple[str, str], tuple[int, int]] = {}
         for p0, g0 in mine:
+            if g0 in looked:
+                q0, q = looked[g0]
+                if w[p0 : p0 + q - q0] == w[q0:q]:
+                    continue
             seen, common = {g0}, 1
             p = p0
             while True:
@@ -156,6 +163,7 @@ class Scanner:
                     common += g in template
                     if len(seen) > hi:
                         break
+            looked[g0] = p0, p + 2
         return best
 
 
@@ -167,8 +175,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     without ``windows`` only runs of whole lines count. Only templates whose size lies within
     the bounds that the threshold puts on a run's size, and that the document
     has enough bigrams of, are compared. Null and empty texts and templates
-    without a bigram match nothing. Repeated rows give repeated results; other
-    columns are ignored. Nothing is shuffled; templates travel with the code.
+    without a bigram match nothing, nor does an empty table. A text of any length
+    is scanned whole, in time that grows with its length. Repeated rows give
+    repeated results, of windows that tie the first counts; other columns are
+    ignored. Nothing is shuffled; templates travel with the code.
     """
     picked = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("text"))
     templates = TEMPLATES if templates is None else templates
@@ -190,7 +200,7 @@ def _as_arrow(templates, threshold, schema, windows):
 
     def run(batches):
         scanner = Scanner(templates, threshold, windows)
-        for batch in batches:
+        for batch in rows_of(batches, 500):
             at, rows = [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 for m in scanner.scan(t):

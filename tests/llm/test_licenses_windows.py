@@ -1,4 +1,5 @@
 import random
+import time
 
 from granary.llm.licenses import TEMPLATES, Scanner, bigrams, license_scan
 
@@ -34,3 +35,14 @@ def test_licences_that_share_a_line(spark):
     assert got >= {(1, "proprietary-notice", 0, 0), (2, "Apache-2.0-header", 1, 1), (3, "MIT", 0, 0)}
     assert not any(r[0] == 4 for r in got)
     assert 1 not in {r.doc_id for r in license_scan(df, windows=False).collect()}
+
+
+def test_repeated_text_costs_little_more_than_one_copy():
+    """A million characters of licences, one of them with a word changed throughout."""
+    scanner = Scanner(TEMPLATES, 0.9, windows=True)
+    once = TEMPLATES["MIT"] + "\n" + TEMPLATES["BSD-3-Clause"].replace("source", "sauce") + "\n"
+    began = time.process_time()
+    many = scanner.scan(once * 400)
+    assert time.process_time() - began < 60
+    assert len(once) * 400 > 900_000
+    assert many == scanner.scan(once * 2) and {m[0] for m in many} == {"MIT", "BSD-3-Clause"}
