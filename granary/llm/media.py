@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import rows_of, table
 
 #: A cut is made where the top MASK_BITS bits of the rolling hash are 0, at least LEAST and at most MOST bytes after the last.
 LEAST, MOST, MASK_BITS = 256, 16_384, 10
 #: Bytes that the 32-bit gear hash remembers.
 MEMORY = 32
 LEVEL = 3
+#: Rows of an Arrow batch that are taken up together.
+ROWS = 100
 #: Bytes hashed together, so that memory doesn't grow with a payload.
 PART = 1 << 22
 
@@ -80,17 +82,20 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     with several users are sent to them.
 
     Null payloads give nulls and no chunks; an empty one has no chunks and is
-    verified. Rows alike in id and payload count as one. A string payload
+    verified; an empty table gives no rows. A payload of any length is hashed in
+    parts and cut whole. Rows alike in id and payload count as one. A string payload
     stands for its UTF-8 bytes. Other columns are ignored.
     """
     rows = df.select(df[id_col].alias("i"), df[payload_col].cast("binary").alias("p"))
-    rows = rows.withColumn("k", F.xxhash64(F.col("i").cast("string"), "p"))
+    # 128 bits stand for a row's id and payload
+    ident = F.md5(F.coalesce(F.concat(F.lit("i"), F.col("i").cast("string")), F.lit("none")).cast("binary"))
+    rows = rows.withColumn("k", F.unhex(F.md5(F.concat(ident.cast("binary"), F.col("p")))))
     kind = rows.schema["i"].dataType
     absent = rows.where("p IS NULL").select("i").distinct()
     there = rows.where("p IS NOT NULL")
 
     def cut(batches):
-        for batch in batches:
+        for batch in rows_of(batches, ROWS):
             ks, ns, ds, ss, at = [], [], [], [], []
             for r, (k, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 for n, c in enumerate(chunk_payload(p)):
@@ -100,27 +105,28 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
                     ds.append(hashlib.sha256(c).digest())
                     ss.append(len(c))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ks, pa.int64()), pa.array(ns, pa.int32()), pa.array(ds, pa.binary()), pa.array(ss, pa.int32())], names=["i", "k", "seq", "digest", "size"]
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ks, pa.binary()), pa.array(ns, pa.int32()), pa.array(ds, pa.binary()), pa.array(ss, pa.int32())], names=["i", "k", "seq", "digest", "size"]
             )
 
-    refs = there.select("i", "k", "p").mapInArrow(cut, T.StructType([T.StructField("i", kind), T.StructField("k", T.LongType()), *_CHUNK.fields])).repartition("digest").dropDuplicates(["digest", "k", "seq"])
-    users = Window.partitionBy("digest")
-    owned = refs.withColumns({"owner": F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k", "seq")).over(users), "uses": F.count("*").over(users)})
+    refs = there.select("i", "k", "p").mapInArrow(cut, T.StructType([T.StructField("i", kind), T.StructField("k", T.BinaryType()), *_CHUNK.fields])).dropDuplicates(["digest", "k", "seq"])
+    # owners by partial sums and a join with skew handling: a digest with very many users isn't one task's work
+    first = F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k", "seq"))
+    owned = refs.join(refs.groupBy("digest").agg(first.alias("owner"), F.count("*").alias("uses")), "digest")
     owned = owned.select("k", "seq", "digest", "size", (F.col("owner.k").eqNullSafe(F.col("k")) & (F.col("owner.seq") == F.col("seq"))).alias("own"), (F.col("uses") > 1).alias("shared"))
     lists = owned.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "own", "shared"))).alias("list"))
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
+        for batch in rows_of(batches, ROWS):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(p) for p in batch.column(2).to_pylist()], pa.binary())], names=["i", "k", "z"])
 
-    moved = there.select("i", "k", "p").mapInArrow(pack, T.StructType([T.StructField("i", kind), T.StructField("k", T.LongType()), T.StructField("z", T.BinaryType())]))
+    moved = there.select("i", "k", "p").mapInArrow(pack, T.StructType([T.StructField("i", kind), T.StructField("k", T.BinaryType()), T.StructField("z", T.BinaryType())]))
     moved = moved.repartition("k").withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("n = 1").drop("n")
     placed = moved.join(lists, "k", "left").select("i", "k", "z", "list")
 
     def serve(batches):
         z, d = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in rows_of(batches, ROWS):
             digests, bodies = [], []
             for packed, chunks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 p, at = d.decompress(packed), 0
@@ -151,7 +157,7 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
 
     def rebuild(batches):
         z, d = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in rows_of(batches, ROWS):
             cols: list[list] = [[], [], [], [], [], []]
             for packed, chunks, others in zip(*[batch.column(c).to_pylist() for c in (1, 2, 3)]):
                 original = d.decompress(packed)

@@ -48,3 +48,33 @@ def test_table_is_rebuilt_from_stored_chunks(spark):
     assert all(r.verified is None and r.n_bytes is None for r in got if r.chunks is None)
     assert sum(map(len, store.values())) < sum(len(p or b"") for _, p in want) / 2
     assert media.media_chunks(df.limit(0)).count() == 0
+
+
+def sequential(p):
+    """Chunk ends, byte by byte."""
+    h, last, out = 0, 0, []
+    for n, b in enumerate(p, 1):
+        h = (2 * h + int(media._GEAR[b])) & 0xFFFFFFFF
+        if n < len(p) and (n - last == media.MOST or n - last >= media.LEAST and h >> (32 - media.MASK_BITS) == 0):
+            out.append(n)
+            last = n
+    return out + [len(p)] if p else out
+
+
+def test_cuts_owners_and_store_against_a_sequential_chunker(spark):
+    rng = random.Random(9)
+    base = rng.randbytes(40_000)
+    rows = [(i, base[rng.randrange(20_000) :][: rng.randrange(30_000)] + rng.randbytes(rng.randrange(3000))) for i in range(25)] + [(30, b"\0" * 60_000), (31, b"\0" * 60_000)]
+    assert all(media.cuts(p) == sequential(p) for _, p in rows)
+    seen, want = set(), {}
+    for i, p in sorted(rows):
+        ends = sequential(p)
+        listed = []
+        for a, b in zip([0, *ends], ends):
+            digest = hashlib.sha256(p[a:b]).hexdigest()
+            listed.append((digest, b - a, digest not in seen))
+            seen.add(digest)
+        want[i] = (len(p), hashlib.sha256(p).hexdigest(), len(listed), sum(x[2] for x in listed), listed, True)
+    df = spark.createDataFrame([(i, bytearray(p)) for i, p in rows], "page_id long, html binary").repartition(3)
+    got = {r.page_id: (r.n_bytes, r.sha256, r.n_chunks, r.n_stored, [(c.digest, c.size, c.payload is not None) for c in r.chunks], r.verified) for r in media.media_chunks(df).collect()}
+    assert got == want
