@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontree as J
 from ..functions.text import entry_identity, stable_key
+from .relational import running
 
 #: All members of an archive bear this time, so that equal contents are equal bytes.
 EPOCH = (1980, 1, 1, 0, 0, 0)
@@ -30,10 +31,10 @@ def entries(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def offsets(bodies: DataFrame, key: str, body: str, shelf: str | None = None) -> DataFrame:
-    """(key, start, size): where each body begins when they stand one after another in stable order of the key, within each shelf."""
-    size = F.octet_length(body).cast("long")
-    w = Window.partitionBy(*([shelf] if shelf else [F.lit(0)])).orderBy(*stable_key(key)).rowsBetween(Window.unboundedPreceding, -1)
-    return bodies.select(*([shelf] if shelf else []), key, F.coalesce(F.sum(size).over(w), F.lit(0)).alias("start"), size.alias("size"))
+    """(key, start, size): where each body begins when they stand one after another in stable order of the key, within each shelf. Only keys and sizes are moved."""
+    by = [shelf] if shelf else []
+    sized = bodies.select(*by, key, F.octet_length(body).cast("long").alias("size"))
+    return running(sized, F.col("size"), "start", stable_key(key), by).select(*by, key, "start", "size")
 
 
 def synonyms(grouped: DataFrame) -> DataFrame:

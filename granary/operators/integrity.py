@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import nearest_rank
+
 
 class ConstraintError(ValueError):
     """A named constraint has violations."""
@@ -74,3 +76,15 @@ def replay_plan(records: DataFrame, expected: DataFrame, ingested: DataFrame, ke
         .otherwise("pending")
     )
     return j.select(key, state.alias("state"))
+
+
+def token_audit(requests: DataFrame, run: str, tokens: str, window: int, headroom: float) -> DataFrame:
+    """One row per run: number of requests, least, middle, p95, p99, most and total input tokens by nearest rank, how often the largest fits the window, and whether that is ``headroom`` times or more. A run without requests has no row and hasn't passed."""
+    g = requests.groupBy(run).agg(
+        F.count(tokens).alias("requests"),
+        F.min(tokens).alias("least"),
+        *[nearest_rank(tokens, f).alias(n) for n, f in (("middle", 0.5), ("p95", 0.95), ("p99", 0.99))],
+        F.max(tokens).alias("most"),
+        F.sum(tokens).alias("total"),
+    )
+    return g.withColumn("headroom", F.lit(float(window)) / F.col("most")).withColumn("passed", F.col("headroom") >= headroom)

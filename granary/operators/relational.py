@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import checkpointed
+
 
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row per key: the first in ``order``, which has to be total."""
@@ -62,15 +64,38 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
-def pages(df: DataFrame, size: int, *order: Column) -> DataFrame:
-    """Adds ``page`` from 1 and ``place`` on it from 0 by a total order.
+def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """(r, o, p): rows, what they are ordered by, and the number of their range. Ranges are written down with their rows: read twice, two plans of one shuffle could cut them differently."""
+    cut = df.select(F.struct("*").alias("r"), F.struct(*order).alias("o")).repartitionByRange("o")
+    return checkpointed(cut.select("r", "o", F.spark_partition_id().alias("p")))
+
 
-    Rows are numbered without one task that sees them all: ranges are sorted,
-    counted, and numbered from the running count of the ranges before.
+def running(df: DataFrame, value: Column, name: str, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before, in a total order, within ``by``.
+
+    No task sees all rows: ranges are sorted and summed, and the sums of the
+    ranges before are added.
     """
-    ranged = df.select(F.struct("*").alias("r"), F.struct(*order).alias("o")).repartitionByRange("o").select("r", "o", F.spark_partition_id().alias("p"))
-    inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("o")))
-    counts = ranged.groupBy("p").agg(F.count("*").alias("m"))
-    before = counts.withColumn("b", F.coalesce(F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "b")
-    placed = inside.join(before, "p").withColumn("k", F.col("n") + F.col("b") - 1)
-    return placed.select("r.*", (F.expr(f"k div {size}") + 1).alias("page"), (F.col("k") % size).alias("place"))
+    keys = [F.col("r")[b].alias(f"__by{k}") for k, b in enumerate(by)]
+    names = [f"__by{k}" for k in range(len(by))]
+    rows = _ranged(df.withColumn("__v", value), order).select("r", "o", "p", F.col("r")["__v"].alias("v"), *keys)
+    inside = Window.partitionBy("p", *names).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("p", *names).agg(F.sum("v").alias("m"))
+    before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("p", *names, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("b"))
+    left = rows.withColumn("i", F.coalesce(F.sum("v").over(inside), F.lit(0)))
+    match = left["p"] == sums["p"]
+    for n in names:
+        match = match & left[n].eqNullSafe(sums[n])
+    return left.join(sums, match).select(*[F.col("r")[c].alias(c) for c in df.columns], (F.col("i") + F.col("b")).alias(name))
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Adds the place of each row from 0 by a total order."""
+    return running(df, F.lit(1).cast("long"), name, order)
+
+
+def pages(df: DataFrame, size: int, *order: Column) -> DataFrame:
+    """Adds ``page`` from 1 and ``place`` on it from 0 by a total order."""
+    placed = numbered(df, "__k", *order)
+    return placed.select(*df.columns, (F.expr(f"__k div {size}") + 1).alias("page"), (F.col("__k") % size).alias("place"))

@@ -9,6 +9,8 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 
 class Unreachable(ValueError):
     """No selection meets the floors."""
@@ -31,8 +33,7 @@ def drawn_order(article: int, salt: str = "pilot-v1") -> str:
 
 def mandatory(metrics: DataFrame) -> DataFrame:
     """Articles that are always in: least, middle, 95th percentile and largest by size, the one with most units, and for each feature the first in hash order."""
-    w = Window.orderBy("size", "article")
-    r = metrics.select("article", "units", "features", (F.row_number().over(w) - 1).alias("k"))
+    r = numbered(metrics.select("article", "size"), "k", F.col("size"), F.col("article"))
     n = metrics.agg(F.count("*").alias("n"))
     by_size = r.crossJoin(n).where((F.col("k") == 0) | (F.col("k") == F.expr("n div 2")) | (F.col("k") == F.floor((F.col("n") - 1) * 0.95)) | (F.col("k") == F.col("n") - 1)).select("article")
     most = metrics.agg(F.max_by("article", F.struct("units", -F.col("article"))).alias("article"))

@@ -91,6 +91,29 @@ def token_array_merge(t: Tables) -> DataFrame:
     return t.documents.select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Z]{3,}"), 0)).alias("x")).groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("x")), " ").alias("tokens"))
 
 
+@query("""
+WITH t AS (SELECT doc_id, string_split(text, ' ')[1:8] AS a, string_split(text, ' ')[5:14] AS b FROM documents WHERE doc_id % 5 = 0), c AS (SELECT doc_id, len(a) AS n, list_concat(a, b) AS l FROM t)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS merged, len(list_filter(l, lambda x, i: list_position(l, x) = i)) - len(list_distinct(l[1:n])) AS added FROM c
+""")
+def ordered_token_merge(t: Tables) -> DataFrame:
+    """Two token arrays merged in order: the first's tokens as they come, then what the second has besides, each once."""
+    w = F.split("text", " ")
+    a, b = F.slice(w, 1, 8), F.slice(w, 5, 10)
+    return t.documents.where("doc_id % 5 = 0").select("doc_id", F.array_join(F.array_union(a, b), " ").alias("merged"), (F.size(F.array_union(a, b)) - F.size(F.array_distinct(a))).cast("long").alias("added"))
+
+
+_AUDIT = "x[CAST(least(n, ceil({} * n)) AS INTEGER)]"
+
+
+@query(f"""
+WITH r AS (SELECT lang AS run, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS v FROM documents), l AS (SELECT run, list_sort(list(v)) AS x, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM r GROUP BY 1)
+SELECT run, n AS requests, x[1] AS least, {_AUDIT.format(0.5)} AS middle, {_AUDIT.format(0.95)} AS p95, {_AUDIT.format(0.99)} AS p99, x[n] AS most, total, 1050000 / x[n] AS headroom, 1050000 / x[n] >= 4 AS passed FROM l
+""")
+def token_audit(t: Tables) -> DataFrame:
+    """Input tokens of each run's requests, and whether the largest fits the window four times."""
+    return integrity.token_audit(t.documents.select(F.col("lang").alias("run"), F.ceil(F.octet_length("text") / 4.0).alias("v")), "run", "v", 1_050_000, 4)
+
+
 @query(r"""
 SELECT doc_id, array_to_string(regexp_extract_all(text, 'https?://[^\s)\]>"'']+'), ' ') AS links, len(regexp_extract_all(text, '\d+(?:[.,:/-]\d+)*')) AS numbers FROM documents WHERE doc_id % 7 = 0
 """)
@@ -120,7 +143,15 @@ def link_kinds(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.link_kind("url").alias("kind"), X.escaped("url").alias("escaped"))
 
 
-@query()
+_HEX = "CAST('0x' || substr(h, {} , 8) AS BIGINT)"
+
+
+@query(f"""
+WITH r AS (SELECT sha256({" || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("n_nationkey", "n_name", "n_regionkey"))}) AS h FROM nation),
+s AS (SELECT count(*) AS n, {", ".join(f"CAST(sum({_HEX.format(8 * k + 1)}) AS HUGEINT) AS s{k}, bit_xor({_HEX.format(8 * k + 1)}) AS m{k}" for k in range(8))} FROM r),
+c AS (SELECT *, 0::HUGEINT AS c8, {", ".join(f"(s{k} + c{k + 1}) // 4294967296 AS c{k}" for k in range(7, -1, -1))} FROM s)
+SELECT n, {" || ".join(f"printf('%08x', CAST((s{k} + c{k + 1}) % 4294967296 AS BIGINT))" for k in range(8))} AS total, {" || ".join(f"printf('%08x', m{k})" for k in range(8))} AS mixed FROM c
+""")
 def digest_of_table(t: Tables) -> DataFrame:
     return table_digest(t.nation)
 
@@ -167,7 +198,19 @@ def replay_dedupe(t: Tables) -> DataFrame:
     return integrity.replay_plan(e.where("event_id % 2 = 0"), t.customer.select(F.col("c_custkey").alias("k")), e.where("event_id % 11 = 1"), "k", "f")
 
 
-@query()
+@query("""
+WITH RECURSIVE u AS (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1),
+o AS MATERIALIZED (SELECT o_orderstatus AS run, o_orderkey, coalesce(c, 0) * 100 + length(o_orderpriority) AS b, coalesce(c, 0) AS u, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS k FROM orders LEFT JOIN u ON l_orderkey = o_orderkey),
+-- one step adds an item to each run: it goes on with the pack (of n items, size bytes, us units), starts one, or stands alone, after which the next starts one
+s AS (
+  SELECT run, 0::BIGINT AS k, NULL::BIGINT AS o_orderkey, -1::BIGINT AS pack, 0::BIGINT AS place, 0::BIGINT AS n, 0::BIGINT AS size, 0::BIGINT AS us FROM (SELECT DISTINCT run FROM o)
+  UNION ALL
+  SELECT run, k, o_orderkey, CASE WHEN fresh THEN pack + 1 ELSE pack END, CASE WHEN fresh THEN 0 ELSE place + 1 END, CASE WHEN b >= 1200 THEN 0 WHEN fresh THEN 1 ELSE n + 1 END,
+         CASE WHEN b >= 1200 THEN 0 WHEN fresh THEN 2 + b ELSE size + b + 1 END, CASE WHEN b >= 1200 THEN 0 WHEN fresh THEN u ELSE us + u END
+  FROM (SELECT s.run, o.k, o.o_orderkey, s.pack, s.place, s.n, s.size, s.us, o.b, o.u, o.b >= 1200 OR s.n = 0 OR s.n >= 12 OR s.size + o.b + 1 > 4500 OR s.us + o.u > 40 AS fresh FROM s JOIN o ON o.run = s.run AND o.k = s.k + 1)
+)
+SELECT run AS o_orderstatus, o_orderkey, pack, place FROM s WHERE k > 0
+""")
 def packing_greedy(t: Tables) -> DataFrame:
     """Orders of each status packed in order of key by line count and size."""
     n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("units"))
@@ -175,7 +218,16 @@ def packing_greedy(t: Tables) -> DataFrame:
     return packing.pack(o, "o_orderstatus", ["o_orderkey"], "o_orderkey", "size", "units", max_items=12, max_bytes=4500, max_units=40, alone_from=1200, hard_bytes=10**6, hard_units=10**4, empty=2)
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS MATERIALIZED (SELECT lang, doc_id, strlen(text) + 2 AS b, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+s AS (
+  SELECT lang, 0::BIGINT AS k, NULL::BIGINT AS doc_id, 0::BIGINT AS chunk, 2::BIGINT AS size FROM (SELECT DISTINCT lang FROM d)
+  UNION ALL
+  SELECT lang, k, doc_id, CASE WHEN fresh THEN chunk + 1 ELSE chunk END, CASE WHEN fresh THEN 2 + b ELSE size + b + 1 END
+  FROM (SELECT s.lang, d.k, d.doc_id, s.chunk, s.size, d.b, s.k = 0 OR s.size + d.b + 1 > 1048576 AS fresh FROM s JOIN d ON d.lang = s.lang AND d.k = s.k + 1)
+)
+SELECT lang, doc_id, chunk FROM s WHERE k > 0
+""")
 def chunk_bytes(t: Tables) -> DataFrame:
     return packing.chunk(t.documents.select("lang", "doc_id", (F.octet_length("text") + 2).alias("size")), "lang", ["doc_id"], "doc_id", "size", 1 << 20)
 
@@ -188,13 +240,24 @@ def midpoint_split(t: Tables) -> DataFrame:
     return g.select(F.when(F.col("n") > 1, "articles").otherwise("units").alias("cut"), "o_custkey", F.expr("n div 2").alias("first_half"))
 
 
-@query()
+@query("""
+WITH m AS (SELECT doc_id, n_chars, len(string_split(text, chr(10))) AS units, lang, source FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS k, count(*) OVER () AS n FROM m),
+h AS (SELECT doc_id, f, sha256('pilot-v1:' || CAST(doc_id AS VARCHAR)) AS h FROM m, unnest([lang, source]) AS x(f))
+SELECT doc_id AS article FROM r WHERE k IN (0, n // 2, CAST(floor((n - 1) * 0.95) AS BIGINT), n - 1)
+UNION (SELECT doc_id FROM m ORDER BY units DESC, doc_id LIMIT 1) UNION (SELECT arg_min(doc_id, h) FROM h GROUP BY f)
+""")
 def pilot_mandatory(t: Tables) -> DataFrame:
     d = t.documents.select(F.col("doc_id").alias("article"), F.col("n_chars").alias("size"), F.size(F.split("text", "\n")).alias("units"), F.array("lang", "source").alias("features"))
     return sampling.mandatory(d)
 
 
-@query()
+@query(r"""
+WITH n AS (SELECT event_id, j.id, j.parent, j.type, j.atom, j.fullkey FROM events, json_tree(props) AS j), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY id) - 1 AS node_no FROM n)
+SELECT a.event_id, CAST(a.node_no AS INTEGER) AS node_no, CAST(b.node_no AS INTEGER) AS parent_no, CAST(len(string_split(a.fullkey, '.')) - 1 AS INTEGER) AS depth, replace(substr(a.fullkey, 2), '.', '/') AS pointer,
+       CASE WHEN a.type = 'OBJECT' THEN 'object' WHEN a.type = 'ARRAY' THEN 'array' WHEN a.type = 'VARCHAR' THEN 'string' WHEN a.type = 'BOOLEAN' THEN 'boolean' WHEN a.type = 'NULL' THEN 'null' ELSE 'number' END AS kind,
+       CASE WHEN a.atom IS NOT NULL THEN json_extract_string(a.atom, '$') END AS text
+FROM k a LEFT JOIN k b ON a.event_id = b.event_id AND a.parent = b.id
+""")
 def tree_nodes(t: Tables) -> DataFrame:
     return tree.node_table(t.events.select("event_id", "props"), "event_id", "props").select("event_id", "node_no", "parent_no", "depth", "pointer", "kind", "text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clamped_delta, nearest_rank, rounded_index
+from ..functions.stats import clamped_delta, nearest_rank, rounded_indices
 from ..operators import coverage
 from ..operators import relational as R
 from .registry import Tables, query
@@ -156,13 +156,13 @@ def multiway_join(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT a.l_orderkey, a.l_partkey, count(*) AS pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey
-WHERE a.l_returnflag = 'N' AND b.l_returnflag = 'R' GROUP BY 1, 2
+SELECT a.l_partkey, a.l_suppkey, a.l_linenumber, count(*) AS pairs FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber = b.l_linenumber
+WHERE a.l_returnflag = 'N' AND b.l_returnflag = 'R' GROUP BY 1, 2, 3
 """)
 def composite_key_join(t: Tables) -> DataFrame:
-    key = ["l_orderkey", "l_partkey", "l_suppkey"]
+    key = ["l_partkey", "l_suppkey", "l_linenumber"]
     a, b = t.lineitem.where("l_returnflag = 'N'").select(*key), t.lineitem.where("l_returnflag = 'R'").select(*key)
-    return a.join(b, key).groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("pairs"))
+    return a.join(b, key).groupBy(*key).agg(F.count("*").alias("pairs"))
 
 
 @query("""
@@ -270,7 +270,7 @@ def pct_nearest_rank(t: Tables) -> DataFrame:
 
 @query(_PCT + "SELECT event_type, x[CAST(round_even((n - 1) * 0.5, 0) AS INTEGER) + 1] AS p50, x[CAST(round_even((n - 1) * 0.95, 0) AS INTEGER) + 1] AS p95 FROM v")
 def pct_round_index(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(rounded_index("value", 0.5).alias("p50"), rounded_index("value", 0.95).alias("p95"))
+    return rounded_indices(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""
@@ -371,7 +371,8 @@ def case_fold_order(t: Tables) -> DataFrame:
     """ASCII case folded first, raw bytes second, whatever the locale."""
     from ..functions.text import stable_key
 
-    return t.part.where("p_size = 7").select("p_partkey", F.row_number().over(Window.orderBy(*stable_key("p_name"), "p_partkey")).alias("place"))
+    named = R.numbered(t.part.where("p_size = 7").select("p_partkey", "p_name"), "place", *stable_key("p_name"), F.col("p_partkey"))
+    return named.select("p_partkey", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")

@@ -33,13 +33,13 @@ def window_summary(placed_: DataFrame, seconds: Column | float) -> DataFrame:
     inside = F.col("place") == "window"
     done = inside & (F.col("event") == "completed")
     seconds = F.lit(seconds) if not isinstance(seconds, Column) else seconds
-    return placed_.agg(
+    return placed_.withColumn("__done", F.when(done, F.col("latency"))).agg(
         F.count_if(inside & (F.col("event") == "submitted")).alias("submitted"),
         F.count_if(done).alias("completed"),
         F.count_if((F.col("place") == "drain") & (F.col("event") == "completed")).alias("drain"),
         F.coalesce(F.sum(F.when(done, F.col("amount"))), F.lit(0)).alias("amount"),
-        nearest_rank(F.when(done, F.col("latency")), 0.5).alias("p50"),
-        nearest_rank(F.when(done, F.col("latency")), 0.95).alias("p95"),
+        nearest_rank("__done", 0.5).alias("p50"),
+        nearest_rank("__done", 0.95).alias("p95"),
     ).withColumn("per_minute", rate(F.col("completed") * 60, seconds))
 
 

@@ -125,3 +125,41 @@ def test_binary_records_and_archives(tmp_path):
     for bad in ("../x", "/x", "a\\b", "a\x01", ""):
         with pytest.raises(ValueError):
             export.archive(a, {bad: b""})
+
+
+def test_places_with_a_wide_payload_and_ranges_that_are_put_together_by_size(spark, tmp_path):
+    """Every place from 0 to n - 1 once, though counting reads none of the payload that the rows have."""
+    from pyspark.sql import functions as F
+
+    spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"), *[F.concat(F.lit(f"{c}" * 60), F.sha2((F.col("id") * c).cast("string"), 256)).alias(f"t{c}") for c in range(4)]).write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        got = R.pages(wide, 100, F.col("k")).select("k", ((F.col("page") - 1) * 100 + F.col("place")).alias("at"), F.length("t3").alias("n"))
+        got.write.parquet(f"{tmp_path}/paged")
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    rows = spark.read.parquet(f"{tmp_path}/paged").collect()
+    assert sorted(r["at"] for r in rows) == list(range(20_000)) and all(r["at"] == r["k"] and r["n"] == 124 for r in rows)
+
+
+def test_running_sums_within_a_column_that_may_be_null(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(s, k, k % 5) for k in range(200) for s in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "shelf string, k int, size long")
+    got = {(r.shelf, r.k): r.start for r in R.running(df, F.col("size"), "start", [F.col("k")], ["shelf"]).collect()}
+    assert got == {(s, k): sum(x % 5 for x in range(k)) for s, k, _ in rows}
+    assert R.numbered(df.limit(0), "n", F.col("k")).count() == 0
+
+
+def test_rounded_indices(spark):
+    from granary.functions.stats import rounded_indices
+
+    groups = {1: [5.0, 1.0, 1.0, 9.0], 2: [3.0], 3: [float(x % 7) for x in range(50)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [(1, None)], "g int, v double")
+    got = {r.g: (r.half, r.most) for r in rounded_indices(df, ["g"], "v", {"half": 0.5, "most": 0.95}).collect()}
+    assert got == {g: (sorted(vs)[round((len(vs) - 1) * 0.5)], sorted(vs)[round((len(vs) - 1) * 0.95)]) for g, vs in groups.items()}
