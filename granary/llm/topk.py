@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,64 +19,70 @@ LISTS = 2
 BLOCK = 8_192
 #: Queries that read a block's lists together.
 QUERIES = 256
-#: Entries first read from each list; doubled while some outsider may still qualify.
-DEPTH = 512
+#: Entries that are first read from each list, about; doubled while some outsider may still qualify.
+DEPTH = 64
 DIGITS = 6
 
 
-def nra(parts: list[np.ndarray], k: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, int]:
-    """Row and column of every object that may be among the ``k`` best of its query, by sum over lists, and the depth read.
+def nra(parts: list[np.ndarray], k: int, depth: int = DEPTH, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row and column of every object that may be among the ``k`` best of its query, by sum over lists, and the most entries read of a list.
 
     parts[m][q, o] is the score of object o in list m of query q. Lists are read
-    from the top, a step at a time, with no look-up of an object by name:
+    from the top, down to one level after another, with no look-up of an object
+    by name:
 
-    * an object's lower bound is what has been read of it, with each list's end
-      for the rest; its upper bound has the last score read there instead;
+    * an object read in all lists has its score; another has a lower bound, of
+      what has been read of it and each other list's end, and an upper bound,
+      with the level reached there instead;
     * an object that hasn't been read anywhere is an outsider, bounded by the
-      sum of the last scores read;
-    * a query stops when its k-th lower bound is above that sum and at most
-      ``k`` objects, or all that aren't yet settled, have an upper bound that
-      reaches the k-th lower bound.
+      sum of the levels;
+    * a query stops when its k-th lower bound, or the ``floor`` that it has from
+      lists read before, is above that sum: no outsider can qualify then, and
+      what has an upper bound below it neither.
 
+    The first level of a query with a floor is where the sum falls to it; of one
+    without, where about ``depth`` entries are above it, as many again each time.
     What is left is returned for its final scores; rounding of scores is allowed
     for, so ties at the edge stay in.
     """
     q, n = parts[0].shape
-    if n <= max(k, depth):
-        rows, cols = np.divmod(np.arange(q * n), n)
-        return rows, cols, n
     slack = 2 * 10.0**-DIGITS
-    ends = np.stack([p.min(axis=1) for p in parts])
+    mean, end = (np.stack([f(p, axis=1) for p in parts]) for f in (np.mean, np.min))
+    spread = np.sqrt(np.maximum(np.stack([np.einsum("qn,qn->q", p, p) for p in parts]) / n - mean**2, 0))
+    known = np.full(q, -np.inf) if floor is None else np.asarray(floor, dtype=np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = np.where(np.isfinite(known), (known - 2 * slack - mean.sum(axis=0)) / np.maximum(spread.sum(axis=0), 1e-12), np.inf)
     open_ = np.arange(q)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    reached = 0
+    rows, cols, reached = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while len(open_):
-        d = min(depth, n)
-        reached = max(reached, d)
-        ids, above_end, above_last, last = [], [], [], np.zeros(len(open_))
-        for p, end in zip(parts, ends):
-            s = p[open_]
-            top = np.argpartition(s, n - d, axis=1)[:, n - d :] if d < n else np.broadcast_to(np.arange(n), s.shape)
-            values = np.take_along_axis(s, top, 1)
-            t = values.min(axis=1)
-            ids.append((top + np.arange(len(open_))[:, None] * n).ravel())
-            above_end.append((values - end[open_][:, None]).ravel())
-            above_last.append((values - t[:, None]).ravel())
-            last += t
-        # an object that hasn't been read in a list has at least the list's end there, at most the last score read
-        seen, place = np.unique(np.concatenate(ids), return_inverse=True)
-        row, col = np.divmod(seen, n)
-        lower = ends[:, open_].sum(axis=0)[row] + np.bincount(place, weights=np.concatenate(above_end))
-        upper = last[row] + np.bincount(place, weights=np.concatenate(above_last))
-        best = np.lexsort((-lower, row))
-        kth = lower[best[np.searchsorted(row, np.arange(len(open_))) + k - 1]]
-        may = upper >= (kth - slack)[row]
-        left = np.bincount(row[may], minlength=len(open_))
-        done = (last < kth - slack) & (left <= 8 * k + depth) | (d == n)
-        take = may & done[row]
-        found.append((open_[row[take]], col[take]))
+        start = NormalDist().inv_cdf(1 - depth / n) if 2 * depth < n else -np.inf
+        at = np.where(np.isfinite(z[open_]), z[open_], start)
+        with np.errstate(invalid="ignore"):
+            level = np.fmax(mean[:, open_] + at * spread[:, open_], end[:, open_])
+        scores = [p[open_] for p in parts]
+        read = [s >= t[:, None] for s, t in zip(scores, level)]
+        reached = max(reached, *(int(r.sum(axis=1).max()) for r in read))
+        whole = np.logical_and.reduce(read)
+        r, c = np.nonzero(whole)
+        # the k-th score of what has been read everywhere; all other lower bounds are smaller or of no help
+        s = sum(p[r, c] for p in scores)
+        order = np.lexsort((-s, r))
+        count = np.bincount(r, minlength=len(open_))
+        first = np.cumsum(count) - count
+        enough = count >= k
+        kth = known[open_].copy()
+        kth[enough] = np.maximum(kth[enough], s[order][first[enough] + k - 1])
+        done = (level.sum(axis=0) < kth - slack) | (level <= end[:, open_]).all(axis=0)
+        # upper bounds: the level stands in where a list hasn't been read
+        r, c = np.nonzero(np.logical_or.reduce(read) & done[:, None])
+        upper = sum(np.where(x[r, c], p[r, c], t[r]) for x, p, t in zip(read, scores, level))
+        may = upper >= (kth - slack)[r]
+        rows.append(open_[r[may]])
+        cols.append(c[may])
+        z[open_] = np.inf
+        known[open_] = kth
         open_, depth = open_[~done], depth * 2
-    return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found]), reached
+    return np.concatenate(rows), np.concatenate(cols), reached
 
 
 def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS, block: int = BLOCK) -> DataFrame:
@@ -84,7 +92,9 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "
     a sum over parts of the vectors, and each part gives every query a sorted
     list of objects, which the no-random-access search reads from the top.
     Every row is a query, against all blocks of rows; each pair of blocks keeps
-    ``k`` rows per query, and a window takes the best of those.
+    ``k`` rows per query at most, none below what the query has from blocks before
+    it in the same task, and a window takes the best of those. The lists of a pair
+    of blocks are made from its vectors, so all pairs are scored in halves first.
 
     Rows whose id is null, or whose vector is null, empty, zero or has a null or
     NaN, take no part, and rows meet only rows of the same length. Rows alike in
@@ -101,7 +111,7 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "
         rows.withColumn("b", F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit(3)), F.lit(count)).cast("int"))
         .groupBy("b", F.size("v").alias("w"))
         .agg(F.sort_array(F.collect_list(F.struct("i", F.transform("v", lambda e: e / F.col("norm")).alias("v")))).alias("rows"))
-        .select("w", F.col("rows.i").alias("ids"), F.flatten("rows.v").alias("x"))
+        .select("b", "w", F.col("rows.i").alias("ids"), F.flatten("rows.v").alias("x"))
     )
     left, right = packed, packed.select(F.col("w").alias("w2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"))
     # every block with every block: not an equality, which would send all pairs to the one task of its key
@@ -109,27 +119,35 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "
     schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("s", T.DoubleType())])
 
     def search(frames):
+        # k-th scores that the queries of a block have from the blocks read so far in this task: floors for those to come
+        floors: dict = {}
         for f in frames:
-            for w, ids, x, ids2, x2 in zip(f["w"], f["ids"], f["x"], f["ids2"], f["x2"]):
+            for key, w, ids, x, ids2, x2 in zip(f["b"], f["w"], f["ids"], f["x"], f["ids2"], f["x2"]):
                 ids, ids2 = np.asarray(list(ids)), np.asarray(list(ids2))
                 A, B = np.asarray(x, dtype=np.float64).reshape(-1, w), np.asarray(x2, dtype=np.float64).reshape(-1, w)
                 edges = np.linspace(0, w, min(lists, w) + 1).astype(int)
+                best = floors.setdefault((key, w), np.full((len(A), k), -np.inf))
+                # the query itself may be among them, as often as its id occurs
+                own = 1 if len(ids2) < 2 else int(pd.Series(ids2).value_counts().iloc[0])
                 for at in range(0, len(A), QUERIES):
                     Q, names = A[at : at + QUERIES], ids[at : at + QUERIES]
                     parts = [Q[:, a:b] @ B[:, a:b].T for a, b in zip(edges, edges[1:])]
-                    # the query itself may be among them, as often as its id occurs
-                    own = 1 if len(ids2) < 2 else int(pd.Series(ids2).value_counts().iloc[0])
-                    r, c, _ = nra(parts, min(k + own, len(B)))
+                    r, c, _ = nra(parts, min(k + own, len(B)), floor=best[at : at + QUERIES, -1])
                     s = np.round(sum(p[r, c] for p in parts), DIGITS)
                     good = names[r] != ids2[c]
                     r, c, s = r[good], c[good], s[good]
                     order = np.lexsort((ids2[c], -s, r))
                     r, c, s = r[order], c[order], s[order]
                     first = np.searchsorted(r, np.arange(len(Q)))
-                    keep = np.arange(len(r)) - first[r] < k
-                    yield pd.DataFrame({"i": names[r[keep]], "j": ids2[c[keep]], "s": s[keep] + 0.0})
-
-    found = pairs.select("w", "ids", "x", "ids2", "x2").mapInPandas(search, schema)
+                    place = np.arange(len(r)) - first[r]
+                    keep = place < k
+                    r, c, s, place = r[keep], c[keep], s[keep], place[keep]
+                    new = np.full((len(Q), k), -np.inf)
+                    new[r, place] = s
+                    best[at : at + QUERIES] = -np.sort(-np.concatenate([best[at : at + QUERIES], new], axis=1), axis=1)[:, :k]
+                    yield pd.DataFrame({"i": names[r], "j": ids2[c], "s": s + 0.0})
+
+    found = pairs.select("b", "w", "ids", "x", "ids2", "x2").mapInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("i").alias(id_col), "rank", F.col("j").alias("neighbour"), F.col("s").alias("score"))
 

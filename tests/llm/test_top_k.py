@@ -47,3 +47,41 @@ def test_search_stops_early_and_keeps_all_winners():
     total = parts[0] + parts[1]
     for i in range(20):
         assert set(np.argsort(-total[i])[:5]) <= set(c[r == i])
+
+
+def test_search_with_floors_ties_and_few_objects():
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 60, 700):
+        q, x = rng.integers(-2, 3, size=(12, 6)).astype(float), rng.integers(-2, 3, size=(n, 6)).astype(float)
+        parts = [q[:, :3] @ x[:, :3].T, q[:, 3:] @ x[:, 3:].T]
+        total = parts[0] + parts[1]
+        for k in (1, 5):
+            r, c, _ = nra(parts, min(k, n), 8)
+            for i in range(12):
+                kth = np.sort(total[i])[::-1][min(k, n) - 1]
+                assert set(np.flatnonzero(total[i] >= kth)) <= set(c[r == i].tolist())
+            floor = np.sort(total, axis=1)[:, -min(k, n)] + rng.choice([-1.0, 0.0, 1.0], 12)
+            r, c, _ = nra(parts, min(k, n), 8, floor)
+            for i in range(12):
+                kth = max(floor[i], np.sort(total[i])[::-1][min(k, n) - 1])
+                assert set(np.flatnonzero(total[i] >= kth)) <= set(c[r == i].tolist())
+
+
+def test_table_beyond_one_block_reads_part_of_the_lists(spark, monkeypatch):
+    """1,500 rows in blocks of 600, with ties and a row that can't be compared: equal to brute force, though no list is read to its end."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16)).round(2)
+    x[1400:] = x[:100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, [float("nan")] * 16)]
+    got = {}
+    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, block=600).collect():
+        got.setdefault(r.vec_id, []).append((r.rank, r.neighbour, r.score))
+    u = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -9)
+    for i in range(1500):
+        want = sorted(range(1500), key=lambda j: (-s[i, j], j))[:4]
+        assert [j for _, j, _ in sorted(got[i])] == want
+    assert 2000 not in got
+    parts = [u[:256, :8] @ u[:, :8].T, u[:256, 8:] @ u[:, 8:].T]
+    assert nra(parts, 5)[2] < 1500
