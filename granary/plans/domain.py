@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.digest import table_digest
-from ..operators import export, incremental, integrity, packing, sampling, tree, validate
+from ..operators import export, incremental, integrity, markup, packing, sampling, tree, validate
 from ..operators import relational as R
 from ..streaming import events as E
 from .registry import Tables, query
@@ -371,3 +371,45 @@ def array_rules(t: Tables) -> DataFrame:
     a = t.documents.where("doc_id < 200").select("doc_id", F.slice(w, 1, 5).alias("x"), F.slice(w, 3, 5).alias("y"))
     missing = F.filter("x", lambda e: ~F.array_contains("y", e))
     return a.select("doc_id", F.size(missing).cast("long").alias("missing"), (F.size("x").between(1, 12) & (F.size(F.array_distinct("x")) == F.size("x"))).alias("valid"))
+
+
+def _leaf_trees(t: Tables) -> DataFrame:
+    """A tree for each part: a block with data, a style and a list, a link to another entry, a number and a line break."""
+    s = lambda **kw: F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in kw.items()])
+    link = s(tag="a", href=F.concat(F.lit("?query="), F.replace("p_brand", F.lit("#"), F.lit("%23"))), content=F.col("p_type"))
+    item = s(tag="li", lang="en", content=F.col("p_name"))
+    box = F.struct(F.lit("div").alias("tag"), s(**{"class": F.col("p_type"), "size": F.col("p_size").cast("string")}).alias("data"), s(fontWeight="bold", color="red").alias("style"))
+    parts = [F.to_json(x) for x in (link, s(tag="br"), s(tag="ul", content=F.array(item)))]
+    inside = F.concat(F.lit("["), F.concat_ws(",", *parts, F.col("p_size").cast("string")), F.lit("]"))
+    whole = F.concat(F.expr("substr(head, 1, length(head) - 1)"), F.lit(',"content":'), F.col("inside"), F.lit("}"))
+    return t.part.select("p_partkey", F.to_json(box).alias("head"), inside.alias("inside")).select("p_partkey", whole.alias("tree"))
+
+
+_NAME = "trim(regexp_replace(p_type, '[^A-Za-z0-9_-]+', '-', 'g'), '-')"
+_BRAND = "replace(replace(p_brand, '#', '%23'), ' ', '%20')"
+
+
+@query(f"""
+SELECT p_partkey, '<div data-sc-class="' || p_type || '" data-sc-size="' || p_size || '" class="dc-' || {_NAME} || ' style-font-bold"><a href="entry://' || {_BRAND} || '">' || p_type || '</a><br><ul><li lang="en">' || p_name || '</li></ul>' || p_size || '</div>' AS markup,
+       9 AS features FROM part
+""")
+def mdict_markup(t: Tables) -> DataFrame:
+    r = markup.strictly_rendered(_leaf_trees(t), "tree", "mdict")
+    return r.select("p_partkey", "markup", F.aggregate("ledger", F.lit(0), lambda a, x: a + x["n"]).alias("features"))
+
+
+@query(f"""
+SELECT p_partkey, '<div class="dc-' || {_NAME} || ' meta-size-' || p_size || '"><a href="x-dictionary:d:' || {_BRAND} || '">' || p_type || '</a><br/><ul><li>' || p_name || '</li></ul>' || p_size || '</div>' AS markup, 9 AS features FROM part
+""")
+def apple_markup(t: Tables) -> DataFrame:
+    r = markup.strictly_rendered(_leaf_trees(t), "tree", "apple")
+    return r.select("p_partkey", "markup", F.aggregate("ledger", F.lit(0), lambda a, x: a + x["n"]).alias("features"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT p_type AS word, p_brand AS e FROM part WHERE p_size < 10), t AS (SELECT word, list_sort(list(e)) AS targets FROM s GROUP BY 1)
+SELECT word AS key, CASE WHEN len(targets) = 1 THEN '@@@LINK=' || targets[1] ELSE '<link rel="stylesheet" type="text/css" href="style.css"><ul>' || array_to_string(list_transform(targets, lambda x: '<li><a href="entry://' || replace(replace(x, '#', '%23'), ' ', '%20') || '">' || x || '</a></li>'), '') || '</ul>' END AS body FROM t
+""")
+def link_records(t: Tables) -> DataFrame:
+    s = t.part.where("p_size < 10").select(F.col("p_type").alias("word"), F.col("p_brand").alias("expression")).distinct()
+    return markup.link_records(export.redirects(s, t.part.select(F.col("p_brand").alias("expression")).distinct()))
