@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.durable import checkpoint_dir, checkpointed  # noqa: F401
+
 ROW = "__row"
 KEY = "__key"
 
@@ -32,25 +32,6 @@ def unpacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(ROW)[c].alias(c) for c in columns])
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = os.path.join(tempfile.gettempdir(), "granary-checkpoints")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(where)
-    return where
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with reliable files, which outlive any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def extended(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *fields])
 
