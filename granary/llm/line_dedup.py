@@ -80,11 +80,12 @@ def segment_keys(texts: list[str], most_edits: int, chars_per_edit: int) -> tupl
 
     Texts are put in classes by length, ``chars_per_edit`` lengths to a class. A
     class has a bound of k edits, and two ends that don't overlap in its
-    shortest text, cut into k // 2 + 1 segments each. One end has k // 2 edits
-    or fewer, so one of its segments is whole, and the one that comes first (seen
-    from the end) with no more edits before it than there are segments before it
-    is moved by no more than that number of characters. A longer text also looks
-    in the class below if a text shorter by k may be there.
+    shortest text. The first has (k - 1) // 2 edits or fewer, or else the other
+    has k // 2 or fewer; each is cut into one segment more than that. One of these
+    is whole, and the one that comes first (seen from the end) with no more edits
+    before it than there are segments before it is moved by no more than that
+    number of characters. A longer text also looks in the class below if a text
+    shorter by k may be there.
     """
     m = np.array([len(t) for t in texts], dtype=np.int64)
     at = np.concatenate([[0], np.cumsum(m)])
@@ -97,12 +98,12 @@ def segment_keys(texts: list[str], most_edits: int, chars_per_edit: int) -> tupl
             kind = own - lower
             bound = np.minimum(kind, most_edits)
             fits = (kind >= 1) & (m - bound < (kind + 1) * chars_per_edit)
-            for half in np.unique(bound[fits] // 2).tolist():
-                row = np.flatnonzero(fits & (bound // 2 == half))
+            for k in np.unique(bound[fits]).tolist():
+                row = np.flatnonzero(fits & (bound == k))
                 c = kind[row]
-                size = c * chars_per_edit // 2 // (half + 1)
-                for end in (0, 1):
-                    for i in range(half + 1):
+                for end, edits in enumerate(((k - 1) // 2, k // 2)):
+                    size = c * chars_per_edit // 2 // (edits + 1)
+                    for i in range(edits + 1):
                         label = ((c * 2 + end) * (most_edits + 1) + i).astype(np.uint64) * _K[2]
                         for shift in range(-i, i + 1):
                             a = i * size + shift if not end else m[row] - (i + 1) * size + shift
