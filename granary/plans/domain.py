@@ -352,6 +352,25 @@ def lease_states(t: Tables) -> DataFrame:
     return E.leases(claim.union(then)).withColumn("batch", F.col("batch").cast("long"))
 
 
+@query("""
+SELECT event_id AS batch, ['leased', 'leased', 'split', 'queued', 'queued', 'done'][event_id % 6 + 1] AS state, [CAST(user_id AS VARCHAR) || 'b', CAST(user_id AS VARCHAR), NULL, NULL, NULL, NULL][event_id % 6 + 1] AS token, CAST([2, 1, 3, 0, 1, 1][event_id % 6 + 1] AS INTEGER) AS tries FROM events
+""")
+def lease_histories(t: Tables) -> DataFrame:
+    """Six histories of batches: a lease that runs out and is taken over; a claim and a completion by another, which don't count; three failures, which split; a lease given back; a completion that comes too late; a claim after the end."""
+    stories = [
+        [("claim", "", 0), ("claim", "b", 100)],
+        [("claim", "", 0), ("claim", "b", 10), ("complete", "b", 20)],
+        [(kind, "", t_) for k in range(3) for kind, t_ in (("claim", 10 * k), ("fail", 10 * k + 5))],
+        [("claim", "", 0), ("release", "", 9)],
+        [("claim", "", 0), ("complete", "", 70)],
+        [("claim", "", 0), ("complete", "", 5), ("claim", "b", 6)],
+    ]
+    made = F.array(*[F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(who).alias("who"), F.lit(float(at)).alias("t")) for kind, who, at in s]) for s in stories])
+    e = t.events.select("event_id", "user_id", F.explode(F.get(made, F.col("event_id") % 6)).alias("s"))
+    e = e.select(F.col("event_id").cast("string").alias("batch"), "s.kind", F.concat(F.col("user_id").cast("string"), F.col("s.who")).alias("token"), "s.t")
+    return E.leases(e).withColumn("batch", F.col("batch").cast("long"))
+
+
 @query("""
 WITH u AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, source FROM documents)
 SELECT source, count(*) AS n, CASE WHEN count(*) % 1000 = 0 THEN 'complete' WHEN count(*) > 30 THEN 'partial' ELSE 'limited' END AS title FROM u GROUP BY 1
