@@ -108,12 +108,12 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ks, pa.binary()), pa.array(ns, pa.int32()), pa.array(ds, pa.binary()), pa.array(ss, pa.int32())], names=["i", "k", "seq", "digest", "size"]
             )
 
-    refs = there.select("i", "k", "p").mapInArrow(cut, T.StructType([T.StructField("i", kind), T.StructField("k", T.BinaryType()), *_CHUNK.fields])).dropDuplicates(["digest", "k", "seq"])
-    # owners by partial sums and a join with skew handling: a digest with very many users isn't one task's work
+    refs = there.select("i", "k", "p").mapInArrow(cut, T.StructType([T.StructField("i", kind), T.StructField("k", T.BinaryType()), *_CHUNK.fields]))
+    # owners by partial sums and a join with skew handling: a digest with very many users isn't one task's work. Repeated rows give repeated references, which the sets below make one
     first = F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k", "seq"))
     owned = refs.join(refs.groupBy("digest").agg(first.alias("owner"), F.count("*").alias("uses")), "digest")
     owned = owned.select("k", "seq", "digest", "size", (F.col("owner.k").eqNullSafe(F.col("k")) & (F.col("owner.seq") == F.col("seq"))).alias("own"), (F.col("uses") > 1).alias("shared"))
-    lists = owned.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "own", "shared"))).alias("list"))
+    lists = owned.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("seq", "digest", "size", "own", "shared"))).alias("list"))
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=LEVEL)
@@ -140,7 +140,7 @@ def media_chunks(df: DataFrame, id_col: str = "page_id", payload_col: str = "htm
     # both uses of ``placed``, and both of ``owned``, take the same columns, so that each is shuffled once and read twice
     served = placed.select("i", "z", "list").mapInArrow(serve, "digest binary, body binary")
     wanted = owned.where("NOT own AND shared").select("k", "seq", "digest", "size")
-    foreign = wanted.join(served, "digest").groupBy("k").agg(F.collect_list(F.struct("seq", "body", "size")).alias("foreign"))
+    foreign = wanted.join(served, "digest").groupBy("k").agg(F.collect_set(F.struct("seq", "body", "size")).alias("foreign"))
     joined = placed.join(foreign, "k", "left").select("i", "z", "list", "foreign")
     out = T.StructType(
         [
