@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,32 @@ def table_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return sums.select("n", F.concat(*reversed(out)).alias("total"), F.concat(*mixed).alias("mixed"))
 
 
+def history_digest(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(place, name, n, total, mixed, upto): the digest of each table in the order given, and the SHA-256 of its line put after that of the tables before it, so that the last row stands for all of them in this order."""
+    rows = None
+    for k, (name, df) in enumerate(tables.items()):
+        one = table_digest(df).select(F.lit(k).alias("place"), F.lit(name).alias("name"), "n", "total", "mixed")
+        rows = one if rows is None else rows.unionByName(one)
+    line = lambda r: F.concat_ws(":", r["name"], r["n"].cast("string"), r["total"], r["mixed"])
+    # one row for each table: a short list, folded in one place
+    all_ = rows.agg(F.sort_array(F.collect_list(F.struct("place", "name", "n", "total", "mixed"))).alias("x"))
+    upto = lambda k: F.aggregate(F.slice("x", 1, k + 1), F.lit(""), lambda a, r: F.sha2(F.concat(a, line(r)), 256))
+    return all_.select(F.explode(F.transform("x", lambda r: F.struct(r.alias("r"), upto(r["place"]).alias("upto")))).alias("y")).select("y.r.*", "y.upto")
+
+
+def parity(left: Mapping[str, DataFrame], right: Mapping[str, DataFrame]) -> DataFrame:
+    """(name, n_left, n_right, state): whether two copies of each table hold the same rows, by their digests; ``missing`` or ``extra`` where one side lacks the table."""
+    out = None
+    for name in sorted({*left, *right}):
+        sides = [table_digest(side[name]).select("n", F.concat("total", "mixed").alias("d")) if name in side else None for side in (left, right)]
+        a = sides[0].select(F.col("n").alias("n_left"), F.col("d").alias("a")) if sides[0] is not None else sides[1].select(F.lit(None).cast("long").alias("n_left"), F.lit(None).cast("string").alias("a"))
+        b = sides[1].select(F.col("n").alias("n_right"), F.col("d").alias("b")) if sides[1] is not None else sides[0].select(F.lit(None).cast("long").alias("n_right"), F.lit(None).cast("string").alias("b"))
+        state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") == F.col("b"), "same").otherwise("different")
+        row = a.crossJoin(b).select(F.lit(name).alias("name"), "n_left", "n_right", state.alias("state"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def digest_of_rows(texts: Sequence[str]) -> tuple[int, str, str]:
     """The same for row texts in memory."""
     total = mixed = 0

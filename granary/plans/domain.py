@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.digest import table_digest
+from ..functions.digest import history_digest, parity, table_digest
 from ..operators import export, incremental, integrity, markup, packing, sampling, tree, validate
 from ..operators import relational as R
 from ..streaming import events as E
@@ -146,12 +146,42 @@ def link_kinds(t: Tables) -> DataFrame:
 _HEX = "CAST('0x' || substr(h, {} , 8) AS BIGINT)"
 
 
-@query(f"""
-WITH r AS (SELECT sha256({" || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("n_nationkey", "n_name", "n_regionkey"))}) AS h FROM nation),
+def _digest_sql(table: str, columns: tuple[str, ...]) -> str:
+    """(n, total, mixed) of a table, a row's text being each value with its length before it."""
+    text = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+    return f"""WITH r AS (SELECT sha256({text}) AS h FROM {table}),
 s AS (SELECT count(*) AS n, {", ".join(f"CAST(sum({_HEX.format(8 * k + 1)}) AS HUGEINT) AS s{k}, bit_xor({_HEX.format(8 * k + 1)}) AS m{k}" for k in range(8))} FROM r),
 c AS (SELECT *, 0::HUGEINT AS c8, {", ".join(f"(s{k} + c{k + 1}) // 4294967296 AS c{k}" for k in range(7, -1, -1))} FROM s)
-SELECT n, {" || ".join(f"printf('%08x', CAST((s{k} + c{k + 1}) % 4294967296 AS BIGINT))" for k in range(8))} AS total, {" || ".join(f"printf('%08x', m{k})" for k in range(8))} AS mixed FROM c
+SELECT n, {" || ".join(f"printf('%08x', CAST((s{k} + c{k + 1}) % 4294967296 AS BIGINT))" for k in range(8))} AS total, {" || ".join(f"printf('%08x', m{k})" for k in range(8))} AS mixed FROM c"""
+
+
+_NATION, _REGION, _LABELS = ("n_nationkey", "n_name", "n_regionkey"), ("r_regionkey", "r_name"), ("doc_id", "quality", "toxic")
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT 0 AS place, 'region' AS name, * FROM ({_digest_sql("region", _REGION)}) UNION ALL SELECT 1, 'nation', * FROM ({_digest_sql("nation", _NATION)}) UNION ALL SELECT 2, 'labels', * FROM ({_digest_sql("labels", _LABELS)})),
+f AS (SELECT 0 AS place, sha256('region:' || n || ':' || total || ':' || mixed) AS upto FROM d WHERE place = 0 UNION ALL SELECT d.place, sha256(f.upto || name || ':' || n || ':' || total || ':' || mixed) FROM f JOIN d ON d.place = f.place + 1)
+SELECT d.*, f.upto FROM d JOIN f USING (place)
 """)
+def history_fingerprint(t: Tables) -> DataFrame:
+    """Three tables in order, each with its digest and that of all up to it."""
+    return history_digest({"region": t.region.select(*_REGION), "nation": t.nation.select(*_NATION), "labels": t.labels.select(*_LABELS)})
+
+
+@query("""
+WITH a AS (SELECT doc_id, toxic FROM labels), b AS (SELECT doc_id, CASE WHEN doc_id = (SELECT max(doc_id) FROM labels) THEN 1 - toxic ELSE toxic END AS toxic FROM labels)
+SELECT 'labels' AS name, (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, CASE WHEN EXISTS (SELECT * FROM a EXCEPT ALL SELECT * FROM b) OR EXISTS (SELECT * FROM b EXCEPT ALL SELECT * FROM a) THEN 'different' ELSE 'same' END AS state
+UNION ALL SELECT 'nation', count(*), count(*), 'same' FROM nation UNION ALL SELECT 'region', count(*), NULL, 'missing' FROM region UNION ALL SELECT 'supplier', NULL, count(*), 'extra' FROM supplier
+""")
+def parity_report(t: Tables) -> DataFrame:
+    """Two copies of four tables: one with a changed row, one in another order, one on either side alone."""
+    last = t.labels.agg(F.max("doc_id").alias("last"))
+    changed = t.labels.crossJoin(last).select("doc_id", F.when(F.col("doc_id") == F.col("last"), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int").alias("toxic"))
+    left = {"labels": t.labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "nation": t.nation.select(*_NATION), "region": t.region.select(*_REGION)}
+    return parity(left, {"labels": changed, "nation": t.nation.select(*_NATION).orderBy(F.desc("n_name")), "supplier": t.supplier.select("s_suppkey", "s_name")})
+
+
+@query(_digest_sql("nation", _NATION))
 def digest_of_table(t: Tables) -> DataFrame:
     return table_digest(t.nation)
 
