@@ -1,4 +1,4 @@
-"""Trees as strict HTML for two dictionary formats: unknown elements, images that aren't there and characters that XML forbids are errors, and a ledger says how each feature came through."""
+"""Trees as strict HTML for three dictionary formats, and as HTML for side-by-side pages. Of the strict ones: unknown elements, images that aren't there and characters that XML forbids are errors, and a ledger says how each feature came through."""
 
 from __future__ import annotations
 
@@ -191,8 +191,93 @@ class Writer:
         return head + (attributes + sized if d.all_attributes else sized + attributes + title) + d.close
 
 
+#: Data keys and style names that the index-and-body format's HTML has; others are left out.
+_DATA = ("class", "content", "code", "sentence-key", "source", "source-type")
+_STYLES = ("fontStyle", "fontWeight", "fontSize", "textDecorationLine", "verticalAlign", "textAlign", "marginTop", "marginRight", "marginBottom", "marginLeft", "listStyleType")
+#: Elements of side-by-side pages; others give way to their content.
+_PAGE = ELEMENTS - {"details", "summary", "img", "rp", "tfoot"}
+
+
+def kebab(name: str) -> str:
+    return re.sub("(?<!^)(?=[A-Z])", "-", name).lower()
+
+
+def index_html(node, images: Mapping[str, str] | None = None, alt: str = "image") -> str:
+    """A tree in the HTML of the index-and-body format: known styles inline, known data as attributes, images in a box that folds as they do."""
+    if node is None:
+        return ""
+    if _plain(node):
+        return html.escape(str(node))
+    if isinstance(node, list):
+        return "".join(index_html(x, images, alt) for x in node)
+    if not isinstance(node, dict):
+        raise Unsupported(type(node).__name__)
+    tag = node.get("tag")
+    if node.get("type") == "structured-content":
+        return index_html(node.get("content"), images, alt)
+    if tag not in ELEMENTS:
+        raise Unsupported(f"element {tag!r}")
+    data, style = (node[k] if isinstance(node.get(k), dict) else {} for k in ("data", "style"))
+    out = [(f"data-sc-{k}", data[k]) for k in _DATA if _plain(data.get(k))]
+    classes = [f"{mark}{c}" for mark, key in (("", "class"), ("sc-", "content")) if (c := name_part(data.get(key)))]
+    if tag == "img":
+        look = name_part(node.get("appearance"))
+        classes += ["gloss-image", *([f"image-{look}"] if look else []), *(["image-background"] if node.get("background") is True else [])]
+        settings = [(k, node.get(k)) for k in ("appearance", "collapsible", "collapsed", "background", "sizeUnits")]
+        out += [(f"data-sc-{kebab(k)}", str(v).lower() if isinstance(v, bool) else v) for k, v in settings if isinstance(v, (bool, str))]
+    out += [("class", " ".join(classes))] if classes else []
+    out += [(k, node[k]) for k in ("title", "lang") if isinstance(node.get(k), str)]
+    out += [(k.lower(), node[k]) for k in ("colSpan", "rowSpan") if isinstance(node.get(k), int) and node[k] > 0]
+    declared = [f"{kebab(k)}:{style[k]}" for k in _STYLES if isinstance(style.get(k), (str, int, float))]
+    if node.get("sizeUnits") in ("px", "em"):
+        declared += [f"{k}:{node[k]:g}{node['sizeUnits']}" for k in ("width", "height") if isinstance(node.get(k), (int, float))]
+    out += [("style", ";".join(declared))] if declared else []
+    if tag == "a" and isinstance(node.get("href"), str):
+        parts = urlsplit(node["href"])
+        term = (parse_qs(parts.query).get("query") or [""])[0] if not parts.scheme and not parts.netloc else ""
+        out.append(("href", f"bword://{quote(term, safe='')}" if term else node["href"]))
+    label = ""
+    if tag == "img":
+        path = node.get("path")
+        if not isinstance(path, str) or not path:
+            raise Unsupported("an image without a path")
+        label = next((node[k] for k in ("alt", "title") if isinstance(node.get(k), str)), "")
+        out += [("src", (images or {}).get(path, path)), ("alt", label)]
+    head = "".join(f' {k}="{html.escape(str(v), quote=True)}"' for k, v in out)
+    if tag == "br":
+        return f"<br{head}>"
+    if tag != "img":
+        return f"<{tag}{head}>{index_html(node.get('content'), images, alt)}</{tag}>"
+    if node.get("collapsible") is True:
+        return f'<details class="gloss-image-container"{"" if node.get("collapsed") is True else " open"}><summary>{html.escape(label or alt)}</summary><img{head}></details>'
+    return f'<span class="gloss-image-container"><img{head}></span>'
+
+
+def page_html(node) -> str:
+    """A tree in the HTML of side-by-side pages: all styles and data kept, links open elsewhere, elements that a page doesn't have give way to their content; nothing is an error."""
+    if node is None:
+        return ""
+    if isinstance(node, list):
+        return "".join(map(page_html, node))
+    if not isinstance(node, dict):
+        return html.escape(str(node))
+    tag, style = node.get("tag"), node.get("style")
+    if node.get("type") == "structured-content" or tag not in _PAGE:
+        return page_html(node.get("content"))
+    out = [(k, node[k]) for k in ("href", "lang", "title") if node.get(k) is not None]
+    if style is not None:
+        out.append(("style", ";".join(f"{kebab(str(k))}:{v}" for k, v in style.items()) if isinstance(style, dict) else style))
+    out += [(k.lower(), node[k]) for k in ("colSpan", "rowSpan") if k in node]
+    out += [("data-sc-" + str(k).replace("_", "-").lower(), v) for k, v in (node.get("data") or {}).items()]
+    out += [("target", "_blank"), ("rel", "noreferrer")] if tag == "a" else []
+    head = "".join(f' {k}="{html.escape(str(v), quote=True)}"' for k, v in out)
+    return f"<br{head}>" if tag == "br" else f"<{tag}{head}>{page_html(node.get('content'))}</{tag}>"
+
+
 def strict(node, how: str, images: Mapping[str, str] | None = None, alt: str = "image", ledger: Ledger | None = None) -> str:
-    """A tree in one of DIALECTS; images by their path in the source."""
+    """A tree in one of DIALECTS, as ``index`` HTML or as ``page`` HTML, of which the last two keep no ledger; images by their path in the source."""
+    if how in ("index", "page"):
+        return index_html(node, images, alt) if how == "index" else page_html(node)
     return Writer(DIALECTS[how], images or {}, alt, Ledger() if ledger is None else ledger).write(node)
 
 

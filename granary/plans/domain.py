@@ -462,3 +462,13 @@ SELECT word AS key, CASE WHEN len(targets) = 1 THEN '@@@LINK=' || targets[1] ELS
 def link_records(t: Tables) -> DataFrame:
     s = t.part.where("p_size < 10").select(F.col("p_type").alias("word"), F.col("p_brand").alias("expression")).distinct()
     return markup.link_records(export.redirects(s, t.part.select(F.col("p_brand").alias("expression")).distinct()))
+
+
+@query("""
+SELECT p_partkey, '<div data-sc-class="' || p_type || '" class="' || p_type || '" style="font-weight:bold"><a href="bword://' || replace(p_brand, '#', '%23') || '">' || p_type || '</a><br><ul><li lang="en">' || p_name || '</li></ul>' || p_size || '</div>' AS indexed,
+       '<div style="font-weight:bold;color:red" data-sc-class="' || p_type || '" data-sc-size="' || p_size || '"><a href="?query=' || replace(p_brand, '#', '%23') || '" target="_blank" rel="noreferrer">' || p_type || '</a><br><ul><li lang="en">' || p_name || '</li></ul>' || p_size || '</div>' AS paged FROM part
+""")
+def index_and_page_markup(t: Tables) -> DataFrame:
+    """The same trees in the HTML of the index-and-body format and of side-by-side pages."""
+    one = markup.strictly_rendered(_leaf_trees(t), "tree", "index").select("p_partkey", "tree", F.col("markup").alias("indexed"))
+    return markup.strictly_rendered(one, "tree", "page").select("p_partkey", "indexed", F.col("markup").alias("paged"))

@@ -1,6 +1,6 @@
 import pytest
 from granary.operators.export import Ledger
-from granary.operators.markup import Unsupported, strict, strictly_rendered
+from granary.operators.markup import Unsupported, index_html, page_html, strict, strictly_rendered
 
 PICTURE = {"tag": "img", "path": "a/b.avif", "width": 2, "height": 1.5, "sizeUnits": "em", "appearance": "mono chrome", "background": True, "title": "T<", "collapsed": False}
 
@@ -36,3 +36,18 @@ def test_ledger_and_table(spark):
     df = spark.createDataFrame([(1, '{"tag": "div", "content": [1, 2.5]}'), (2, None)], "k int, tree string")
     got = {r.k: (r.markup, [tuple(x) for x in r.ledger]) for r in strictly_rendered(df, "tree", "mdict").collect()}
     assert got == {1: ("<div>12.5</div>", [("tag:div", "exact", "", 1)]), 2: (None, [])}
+
+
+def test_index_html():
+    node = {"tag": "th", "colSpan": 3, "data": {"class": "a b", "code": 5, "other": "x"}, "style": {"marginTop": 0.5, "color": "red"}, "content": [{"tag": "a", "href": "?query=x y", "content": "l"}, {"tag": "a", "href": "https://e.org"}]}
+    assert index_html(node) == '<th data-sc-class="a b" data-sc-code="5" class="a-b" colspan="3" style="margin-top:0.5"><a href="bword://x%20y">l</a><a href="https://e.org"></a></th>'
+    assert index_html(PICTURE, {"a/b.avif": "b.png"}) == '<span class="gloss-image-container"><img data-sc-appearance="mono chrome" data-sc-collapsed="false" data-sc-background="true" data-sc-size-units="em" class="gloss-image image-mono-chrome image-background" title="T&lt;" style="width:2em;height:1.5em" src="b.png" alt="T&lt;"></span>'
+    assert index_html(PICTURE | {"collapsible": True}).startswith('<details class="gloss-image-container" open><summary>T&lt;</summary><img ')
+    for bad in ({"tag": "b"}, {"tag": "img"}, False):
+        with pytest.raises(Unsupported):
+            index_html(bad)
+
+
+def test_page_html_takes_everything():
+    node = [{"tag": "b", "content": ["x<", True]}, {"tag": "td", "colSpan": 2, "style": {"fontSize": "2em"}, "data": {"sentence_Key": "k"}, "content": {"tag": "a", "href": "/y", "title": "t"}}, {"tag": "br"}, {"tag": "span", "style": "color:red", "content": None}]
+    assert page_html(node) == 'x&lt;True<td style="font-size:2em" colspan="2" data-sc-sentence-key="k"><a href="/y" title="t" target="_blank" rel="noreferrer"></a></td><br><span style="color:red"></span>'
