@@ -472,3 +472,44 @@ def index_and_page_markup(t: Tables) -> DataFrame:
     """The same trees in the HTML of the index-and-body format and of side-by-side pages."""
     one = markup.strictly_rendered(_leaf_trees(t), "tree", "index").select("p_partkey", "tree", F.col("markup").alias("indexed"))
     return markup.strictly_rendered(one, "tree", "page").select("p_partkey", "indexed", F.col("markup").alias("paged"))
+
+
+@query("SELECT p_partkey, '/content/0/content' AS pointer, NULL AS lang, p_type AS text FROM part UNION ALL SELECT p_partkey, '/content/2/content/0/content', 'en', p_name FROM part")
+def tree_leaves(t: Tables) -> DataFrame:
+    """Visible leaves with the language that they inherit."""
+    return tree.leaves(tree.node_table(_leaf_trees(t), "p_partkey", "tree"), "p_partkey").select("p_partkey", "pointer", "lang", "text")
+
+
+@query("""
+SELECT kind, name, n * (SELECT count(*) FROM part) AS n FROM (VALUES ('data', 'class', 1), ('data', 'size', 1), ('kind', 'array', 2), ('kind', 'number', 1), ('kind', 'object', 7), ('kind', 'string', 13), ('tag', 'a', 1), ('tag', 'br', 1), ('tag', 'div', 1), ('tag', 'li', 1), ('tag', 'ul', 1)) AS v(kind, name, n)
+""")
+def tree_feature_counts(t: Tables) -> DataFrame:
+    """How often each element, data key and kind of node occurs."""
+    return tree.features(tree.node_table(_leaf_trees(t), "p_partkey", "tree"))
+
+
+@query("SELECT p_partkey, '<kref>' || p_type || '</kref>' || chr(10) || '• ' || p_name || chr(10) || p_size || chr(10) AS markup, 3 AS degraded FROM part")
+def xdxf_markup(t: Tables) -> DataFrame:
+    """The same trees with what a plain format lacks as text, and how many features were degraded by that."""
+    r = export.rendered(_leaf_trees(t), "tree", "xdxf")
+    return r.select("p_partkey", "markup", F.size(F.filter("ledger", lambda x: x["fidelity"] == "degraded")).alias("degraded"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size < 20 THEN '{"content":[{"content":"' || p_type || '","href":"?query=' || replace(p_brand, '#', '%23') || '","tag":"a"},{"tag":"br"},{"content":[{"content":"T ' || p_brand || '","lang":"ru","tag":"li"}],"tag":"ul"},' || p_size || '],"data":{"class":"' || p_type || '","size":"' || p_size || '"},"style":{"color":"red","fontWeight":"bold"},"tag":"div"}' END AS body FROM part
+""")
+def translated_trees(t: Tables) -> DataFrame:
+    """Trees with a leaf translated and its holder's language set, in canonical JSON; trees without a translation stay as they are and are told by null here."""
+    targets = t.part.where("p_size < 20").select("p_partkey", F.lit("/content/2/content/0/content").alias("pointer"), F.concat(F.lit('"T '), F.col("p_brand"), F.lit('"')).alias("target"))
+    before = _leaf_trees(t)
+    done = tree.applied(before, targets, "p_partkey", "tree", "ru")
+    return done.join(before, "p_partkey").select("p_partkey", F.when(F.col("body") != F.col("tree"), F.col("body")).alias("body"))
+
+
+@query("""
+SELECT p_partkey, 0 AS ordinal, '/0/content/0/content' AS pointer, 'glossary' AS role, p_name AS text, sha256(p_name) AS digest, strlen(p_name) AS byte_count FROM part UNION ALL SELECT p_partkey, 1, '/0/content/1/content', 'glossary', p_type, sha256(p_type), strlen(p_type) FROM part
+""")
+def translatable_units(t: Tables) -> DataFrame:
+    """The leaves to be translated, with role, digest and size; attributions aren't among them."""
+    body = F.concat(F.lit('[{"tag":"ul","data":{"content":"glossary"},"content":[{"tag":"li","content":"'), "p_name", F.lit('"},{"tag":"li","content":"'), "p_type", F.lit('"}]},{"tag":"span","data":{"content":"attribution"},"content":"'), "p_brand", F.lit('"}]'))
+    return tree.unit_table(t.part.select("p_partkey", body.alias("body")), "p_partkey", "body")
