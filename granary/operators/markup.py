@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .export import Ledger
 
 ELEMENTS = frozenset("a br details div img li ol rp rt ruby span summary table tbody td tfoot th thead tr ul".split())
-_FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
-_NOT_IN_NAMES = re.compile(r"[^A-Za-z0-9_-]+")
+_FORBIDDEN = re.compile(r"[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+_NAME = re.compile(r"[A-Za-z0-9_-]+")
 
 
 class Unsupported(ValueError):
@@ -54,9 +54,50 @@ APPLE = Dialect("x-dictionary:d:", "x-dictionary definition URI", "Images/", "bu
 DIALECTS = {"mdict": MDICT, "apple": APPLE}
 
 
+def _of(node: dict, key: str, kind: type):
+    """A value of a kind; the kind's empty value where there is none."""
+    got = node.get(key)
+    return got if type(got) is kind else kind()
+
+
+def _walk(node, element, text, strange) -> str:
+    """What all formats do alike: nothing for nothing, a list's parts together, a wrapper's content, and ``element`` for the rest."""
+    match node:
+        case None:
+            return ""
+        case [*parts]:
+            return "".join([_walk(x, element, text, strange) for x in parts])
+        case {"type": "structured-content", **rest}:
+            return _walk(rest.get("content"), element, text, strange)
+        case dict():
+            return element(node)
+        case bool():
+            return strange(node)
+        case str() | int() | float():
+            return text(node)
+    return strange(node)
+
+
+def _refuse(node) -> str:
+    raise Unsupported(type(node).__name__)
+
+
+def entry_term(href: str) -> str:
+    """The term that a link of the source names, if it isn't one to elsewhere."""
+    at = urlsplit(href)
+    terms = {} if at.scheme or at.netloc else parse_qs(at.query)
+    return terms.get("query", [""])[0]
+
+
 def name_part(value) -> str:
     """A text as part of a class or attribute name; empty if nothing is left of it."""
-    return _NOT_IN_NAMES.sub("-", value).strip("-") if isinstance(value, str) else ""
+    return "-".join(_NAME.findall(value)).strip("-") if type(value) is str else ""
+
+
+def _common(node: dict) -> list[tuple[str, object]]:
+    """title and lang, and how many columns and rows a cell takes."""
+    said = [(key, node[key]) for key in ("title", "lang") if type(node.get(key)) is str]
+    return said + [(key.lower(), n) for key in ("colSpan", "rowSpan") if (n := _of(node, key, int)) > 0]
 
 
 def escaped(value) -> str:
@@ -67,7 +108,7 @@ def escaped(value) -> str:
 
 
 def _plain(value) -> bool:
-    return isinstance(value, (str, int, float)) and not isinstance(value, bool)
+    return type(value) in (str, int, float)
 
 
 class Writer:
@@ -77,28 +118,27 @@ class Writer:
     def attributes(self, node: dict, first: tuple[str, ...] = ()) -> str:
         d, note = self.dialect, self.ledger.note
         classes, other = [c for c in first if c], []
-        data = node["data"] if isinstance(node.get("data"), dict) else {}
+        data = _of(node, "data", dict)
         classes += [f"{mark}-{c}" for mark, key in (("dc", "class"), ("sc", "content")) if (c := name_part(data.get(key)))]
         for key in sorted(data):
             part = name_part(key)
             if d.data_attributes:
                 if part and _plain(data[key]):
                     other.append((f"data-sc-{part}", data[key]))
-                    note(f"semantic-data:{key}", "exact", d.data_note)
+                    note("semantic-data:" + key, "exact", d.data_note)
             else:
                 if part and (v := name_part(data[key])) and key not in ("class", "content"):
                     classes.append(f"meta-{part}-{v}")
-                note(f"semantic-data:{key}", "lossless-transform", d.data_note)
-        style = node["style"] if isinstance(node.get("style"), dict) else {}
-        for key in sorted(style):
-            made = self.style_class(key, style[key])
+                note("semantic-data:" + key, "lossless-transform", d.data_note)
+        for key, value in sorted(_of(node, "style", dict).items()):
+            made = self.style_class(key, value)
             classes += [made] if made else []
             note(f"style:{key}", *(("lossless-transform", d.style_note) if made else ("degraded", d.no_style_note)))
-        out = [("class", " ".join(dict.fromkeys(classes)))] if classes else []
+        named = " ".join(dict.fromkeys(classes))
+        out = [("class", named)] if named else []
         if not d.all_attributes:
             return self.joined(out)
-        spans = [(key.lower(), node[key]) for key in ("colSpan", "rowSpan") if isinstance(node.get(key), int) and node[key] > 0]
-        return self.joined([*other, *out, *[(key, node[key]) for key in ("title", "lang") if isinstance(node.get(key), str)], *spans])
+        return self.joined([*other, *out, *_common(node)])
 
     def style_class(self, key: str, value) -> str | None:
         if key == "listStyleType" and (v := name_part(str(value))):
@@ -114,66 +154,59 @@ class Writer:
         return "".join(f' {k}="{escaped(v)}"' for k, v in pairs)
 
     def write(self, node, in_ruby: bool = False) -> str:
-        if node is None:
-            return ""
-        if _plain(node):
-            return escaped(node)
-        if isinstance(node, list):
-            return "".join(self.write(x, in_ruby) for x in node)
-        if not isinstance(node, dict):
-            raise Unsupported(type(node).__name__)
+        return _walk(node, lambda x: self.element(x, in_ruby), escaped, _refuse)
+
+    def element(self, node: dict, in_ruby: bool) -> str:
         note, tag, inside = self.ledger.note, node.get("tag"), node.get("content")
-        if node.get("type") == "structured-content":
-            note("structured-content", "lossless-transform")
-            return self.write(inside)
-        if tag not in ELEMENTS:
-            raise Unsupported(f"element {tag!r}")
-        if tag == "br":
-            note("tag:br", "exact")
-            return self.dialect.line_break
-        if tag in ("details", "summary"):
-            if tag == "details":
-                note("details", "lossless-transform", "expanded block")
-            box = "div" if tag == "details" else "span"
-            return f'<{box} class="jr-{tag}">{self.write(inside)}</{box}>'
-        if tag == "a":
-            return self.link(node)
-        if tag == "img":
-            return self.image(node)
-        if not self.dialect.free_readings and tag in ("ruby", "rt", "rp"):
-            if tag == "ruby":
+        match tag:
+            case "br":
+                note("tag:br", "exact")
+                return self.dialect.line_break
+            case "details" | "summary":
+                if tag == "details":
+                    note("details", "lossless-transform", "expanded block")
+                box = {"details": "div", "summary": "span"}[tag]
+                return f'<{box} class="jr-{tag}">{self.write(inside)}</{box}>'
+            case "a":
+                return self.link(node)
+            case "img":
+                return self.image(node)
+            case "ruby" if not self.dialect.free_readings:
                 note("ruby", "exact")
                 return f"<ruby>{self.write(inside, True)}</ruby>"
-            return f"<rt>{self.write(inside)}</rt>" if tag == "rt" and in_ruby else self.write(inside)
-        attributes = self.attributes(node)
-        if not self.dialect.all_attributes and isinstance(node.get("title"), str):
-            attributes += self.joined([("title", node["title"])])
-        note(f"tag:{tag}", "exact")
-        return f"<{tag}{attributes}>{self.write(inside)}</{tag}>"
+            case "rt" | "rp" if not self.dialect.free_readings:
+                return f"<rt>{self.write(inside)}</rt>" if tag == "rt" and in_ruby else self.write(inside)
+        if tag not in ELEMENTS:
+            raise Unsupported(f"element {tag!r}")
+        head = tag + self.attributes(node)
+        if not self.dialect.all_attributes:
+            head += self.joined(_common(node)[:1]) if type(node.get("title")) is str else ""
+        note("tag:" + tag, "exact")
+        return f"<{head}>{self.write(inside)}</{tag}>"
 
     def link(self, node: dict) -> str:
         note, attributes, body, href = self.ledger.note, self.attributes(node), self.write(node.get("content")), node.get("href")
-        if not isinstance(href, str):
+        if type(href) is not str:
             note("link:missing", "degraded", "visible text retained")
             return body
-        parts = urlsplit(href)
-        term = (parse_qs(parts.query).get("query") or [""])[0] if not parts.scheme and not parts.netloc else ""
-        if term:
+        if term := entry_term(href):
             note("link:internal", "lossless-transform", self.dialect.link_note)
-            return f'<a href="{self.dialect.entry_link}{quote(term, safe="")}"{attributes}>{body or escaped(term)}</a>'
-        if parts.scheme in ("http", "https"):
+            to, shown = self.dialect.entry_link + quote(term, safe=""), term
+        elif href.lower().startswith(("http://", "https://")):
             note("link:external", "exact")
-            return f'<a href="{escaped(href)}"{attributes}>{body or escaped(href)}</a>'
-        note("link:other", "degraded", "visible text retained")
-        return body or escaped(href)
+            to, shown = escaped(href), href
+        else:
+            note("link:other", "degraded", "visible text retained")
+            return body or escaped(href)
+        return f'<a href="{to}"{attributes}>{body or escaped(shown)}</a>'
 
     def image(self, node: dict) -> str:
-        d, note, path = self.dialect, self.ledger.note, node.get("path")
-        if not isinstance(path, str) or path not in self.images:
+        d, note, path = self.dialect, self.ledger.note, _of(node, "path", str)
+        if path not in self.images:
             raise Unsupported(f"image {path!r}")
-        alt = node.get("alt") or node.get("title") or self.alt
+        alt = next((x for x in (node.get("alt"), node.get("title")) if x), self.alt)
         look = name_part(node.get("appearance"))
-        attributes = self.attributes(node, ("gloss-image", f"image-{look}" if look else "", "image-background" if node.get("background") is True else ""))
+        attributes = self.attributes(node, ("gloss-image", look and f"image-{look}", _of(node, "background", bool) and "image-background"))
         units, sizes = node.get("sizeUnits"), []
         for key in ("width", "height"):
             if isinstance(node.get(key), (int, float)) and node[key] > 0:
@@ -186,7 +219,7 @@ class Writer:
         as_style = d.all_attributes or units == "em"
         unit = units if units in ("px", "em") else "px"
         sized = self.joined([("style", ";".join(f"{k}:{v}{unit}" for k, v in sizes))] if sizes and as_style else sizes)
-        title = self.joined([("title", node["title"])]) if not d.all_attributes and isinstance(node.get("title"), str) else ""
+        title = "" if d.all_attributes or type(node.get("title")) is not str else self.joined([("title", node["title"])])
         head = f'<img src="{d.images}{escaped(self.images[path])}" alt="{escaped(alt if isinstance(alt, str) else self.alt)}"'
         return head + (attributes + sized if d.all_attributes else sized + attributes + title) + d.close
 
@@ -199,79 +232,72 @@ _PAGE = ELEMENTS - {"details", "summary", "img", "rp", "tfoot"}
 
 
 def kebab(name: str) -> str:
-    return re.sub("(?<!^)(?=[A-Z])", "-", name).lower()
+    """camelCase in lower case with hyphens."""
+    return name[:1].lower() + "".join(f"-{c.lower()}" if c.isupper() else c for c in name[1:])
+
+
+def _tagged(tag: str, pairs) -> str:
+    return tag + "".join(f' {k}="{html.escape(str(v), quote=True)}"' for k, v in pairs)
 
 
 def index_html(node, images: Mapping[str, str] | None = None, alt: str = "image") -> str:
     """A tree in the HTML of the index-and-body format: known styles inline, known data as attributes, images in a box that folds as they do."""
-    if node is None:
-        return ""
-    if _plain(node):
-        return html.escape(str(node))
-    if isinstance(node, list):
-        return "".join(index_html(x, images, alt) for x in node)
-    if not isinstance(node, dict):
-        raise Unsupported(type(node).__name__)
-    tag = node.get("tag")
-    if node.get("type") == "structured-content":
-        return index_html(node.get("content"), images, alt)
-    if tag not in ELEMENTS:
-        raise Unsupported(f"element {tag!r}")
-    data, style = (node[k] if isinstance(node.get(k), dict) else {} for k in ("data", "style"))
-    out = [(f"data-sc-{k}", data[k]) for k in _DATA if _plain(data.get(k))]
-    classes = [f"{mark}{c}" for mark, key in (("", "class"), ("sc-", "content")) if (c := name_part(data.get(key)))]
-    if tag == "img":
-        look = name_part(node.get("appearance"))
-        classes += ["gloss-image", *([f"image-{look}"] if look else []), *(["image-background"] if node.get("background") is True else [])]
-        settings = [(k, node.get(k)) for k in ("appearance", "collapsible", "collapsed", "background", "sizeUnits")]
-        out += [(f"data-sc-{kebab(k)}", str(v).lower() if isinstance(v, bool) else v) for k, v in settings if isinstance(v, (bool, str))]
-    out += [("class", " ".join(classes))] if classes else []
-    out += [(k, node[k]) for k in ("title", "lang") if isinstance(node.get(k), str)]
-    out += [(k.lower(), node[k]) for k in ("colSpan", "rowSpan") if isinstance(node.get(k), int) and node[k] > 0]
-    declared = [f"{kebab(k)}:{style[k]}" for k in _STYLES if isinstance(style.get(k), (str, int, float))]
-    if node.get("sizeUnits") in ("px", "em"):
-        declared += [f"{k}:{node[k]:g}{node['sizeUnits']}" for k in ("width", "height") if isinstance(node.get(k), (int, float))]
-    out += [("style", ";".join(declared))] if declared else []
-    if tag == "a" and isinstance(node.get("href"), str):
-        parts = urlsplit(node["href"])
-        term = (parse_qs(parts.query).get("query") or [""])[0] if not parts.scheme and not parts.netloc else ""
-        out.append(("href", f"bword://{quote(term, safe='')}" if term else node["href"]))
-    label = ""
-    if tag == "img":
-        path = node.get("path")
-        if not isinstance(path, str) or not path:
+    images = images or {}
+
+    def element(node: dict) -> str:
+        tag, data, style = node.get("tag"), _of(node, "data", dict), _of(node, "style", dict)
+        if tag not in ELEMENTS:
+            raise Unsupported(f"element {tag!r}")
+        classes = [name_part(data.get("class")), "sc-" + name_part(data.get("content"))]
+        pairs = [(f"data-sc-{k}", data[k]) for k in _DATA if _plain(data.get(k))]
+        if tag == "img":
+            classes += ["gloss-image", "image-" + name_part(node.get("appearance")), "image-background" * _of(node, "background", bool)]
+            settings = [(kebab(k), node.get(k)) for k in ("appearance", "collapsible", "collapsed", "background", "sizeUnits")]
+            pairs += [(f"data-sc-{k}", {True: "true", False: "false"}.get(v, v) if type(v) is bool else v) for k, v in settings if type(v) in (bool, str)]
+        named = " ".join(c for c in classes if c not in ("", "sc-", "image-"))
+        pairs += [("class", named)] * bool(named) + _common(node)
+        declared = [f"{kebab(k)}:{style[k]}" for k in _STYLES if isinstance(style.get(k), (str, int, float))]
+        if (unit := node.get("sizeUnits")) in ("px", "em"):
+            declared += [f"{k}:{node[k]:g}{unit}" for k in ("width", "height") if isinstance(node.get(k), (int, float))]
+        pairs += [("style", ";".join(declared))] * bool(declared)
+        if tag == "a" and type(href := node.get("href")) is str:
+            term = entry_term(href)
+            pairs.append(("href", "bword://" + quote(term, safe="") if term else href))
+        if tag == "br":
+            return f"<{_tagged(tag, pairs)}>"
+        if tag != "img":
+            return f"<{_tagged(tag, pairs)}>{index_html(node.get('content'), images, alt)}</{tag}>"
+        path, label = _of(node, "path", str), next((node[k] for k in ("alt", "title") if type(node.get(k)) is str), "")
+        if not path:
             raise Unsupported("an image without a path")
-        label = next((node[k] for k in ("alt", "title") if isinstance(node.get(k), str)), "")
-        out += [("src", (images or {}).get(path, path)), ("alt", label)]
-    head = "".join(f' {k}="{html.escape(str(v), quote=True)}"' for k, v in out)
-    if tag == "br":
-        return f"<br{head}>"
-    if tag != "img":
-        return f"<{tag}{head}>{index_html(node.get('content'), images, alt)}</{tag}>"
-    if node.get("collapsible") is True:
-        return f'<details class="gloss-image-container"{"" if node.get("collapsed") is True else " open"}><summary>{html.escape(label or alt)}</summary><img{head}></details>'
-    return f'<span class="gloss-image-container"><img{head}></span>'
+        image = f"<{_tagged(tag, [*pairs, ('src', images.get(path, path)), ('alt', label)])}>"
+        box = [("class", "gloss-image-container")]
+        if not _of(node, "collapsible", bool):
+            return f"<{_tagged('span', box)}>{image}</span>"
+        return f"<{_tagged('details', box)}{'' if _of(node, 'collapsed', bool) else ' open'}><summary>{html.escape(label or alt)}</summary>{image}</details>"
+
+    return _walk(node, element, lambda x: html.escape(str(x)), _refuse)
 
 
 def page_html(node) -> str:
     """A tree in the HTML of side-by-side pages: all styles and data kept, links open elsewhere, elements that a page doesn't have give way to their content; nothing is an error."""
-    if node is None:
-        return ""
-    if isinstance(node, list):
-        return "".join(map(page_html, node))
-    if not isinstance(node, dict):
-        return html.escape(str(node))
-    tag, style = node.get("tag"), node.get("style")
-    if node.get("type") == "structured-content" or tag not in _PAGE:
-        return page_html(node.get("content"))
-    out = [(k, node[k]) for k in ("href", "lang", "title") if node.get(k) is not None]
-    if style is not None:
-        out.append(("style", ";".join(f"{kebab(str(k))}:{v}" for k, v in style.items()) if isinstance(style, dict) else style))
-    out += [(k.lower(), node[k]) for k in ("colSpan", "rowSpan") if k in node]
-    out += [("data-sc-" + str(k).replace("_", "-").lower(), v) for k, v in (node.get("data") or {}).items()]
-    out += [("target", "_blank"), ("rel", "noreferrer")] if tag == "a" else []
-    head = "".join(f' {k}="{html.escape(str(v), quote=True)}"' for k, v in out)
-    return f"<br{head}>" if tag == "br" else f"<{tag}{head}>{page_html(node.get('content'))}</{tag}>"
+
+    def element(node: dict) -> str:
+        tag, style, inside = node.get("tag"), node.get("style"), node.get("content")
+        if tag not in _PAGE:
+            return page_html(inside)
+        said = {k: node.get(k) for k in ("href", "lang", "title")}
+        said["style"] = ";".join(f"{kebab(str(k))}:{v}" for k, v in style.items()) if type(style) is dict else style
+        said |= {k.lower(): node.get(k) for k in ("colSpan", "rowSpan")}
+        said |= {"data-sc-" + str(k).replace("_", "-").lower(): v for k, v in _of(node, "data", dict).items()}
+        said |= {"target": "_blank", "rel": "noreferrer"} if tag == "a" else {}
+        head = _tagged(tag, [(k, v) for k, v in said.items() if v is not None])
+        return f"<{head}>" if tag == "br" else f"<{head}>{page_html(inside)}</{tag}>"
+
+    def text(x) -> str:
+        return html.escape(str(x))
+
+    return _walk(node, element, text, text)
 
 
 def strict(node, how: str, images: Mapping[str, str] | None = None, alt: str = "image", ledger: Ledger | None = None) -> str:

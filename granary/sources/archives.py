@@ -68,8 +68,11 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the term banks; rows of fewer than eight fields, or without an integer sequence, are left out."""
 
     def make(row):
-        if not isinstance(row, list) or len(row) < 8 or not isinstance(row[6], int) or isinstance(row[6], bool):
-            return None
+        match row:
+            case [_, _, _, _, _, _, sequence, _, *_] if type(sequence) is int:
+                pass
+            case _:
+                return None
         return row[0], row[1], row[2] or "", row[3] or "", float(row[4]), canonical(row[5]), row[6], row[7] or "", canonical(row), digest(row)
 
     return _members(spark, path, "term", TERM, make)
