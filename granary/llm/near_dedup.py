@@ -19,7 +19,9 @@ BANDS, ROWS = 16, 4
 #: A shingle that fewer than one document in RARE has weighs as if one in RARE had it. Those that more have are counted one by one, and there can't be more of them than RARE times the shingles of a document, however many documents there are.
 RARE = 256
 #: Documents in which frequent shingles are looked for together.
-TOGETHER = 4_096
+TOGETHER, LEAST_TOGETHER = 4_096, 1_024
+#: A group of long documents ends where it has so many shingles.
+SHINGLES = 1 << 24
 #: Least weight of a shingle, that of one which every document has.
 FLOOR = 0.1
 SEED = 6021
@@ -204,21 +206,27 @@ def weighted_jaccard(a: tuple, b: tuple, idf: Frequencies) -> float:
 
 def inverse_frequencies(texts: DataFrame) -> Frequencies:
     """Counted over all documents, in two passes: a shingle that one document in RARE has is as frequent in some TOGETHER of them, so those that are come first and are then counted exactly. The driver gets no more of them than there can be."""
-    size = texts.count()
-    texts = texts.select("t").coalesce(max(1, size // TOGETHER))
+    # partitions of very few documents are put together; no further than that, as documents may be long
+    texts = texts.select("t").coalesce(max(1, texts.count() // LEAST_TOGETHER))
 
     def frequent(frames):
-        out, held = [], []
+        out, held, size = [], [], 0
 
         def close(some):
             s, c = np.unique(np.concatenate(some), return_counts=True)
             out.append(s[c * RARE >= len(some)])
 
         for f in frames:
-            held += [s for s in (shingles(t)[0] for t in f["t"]) if len(s)]
-            while len(held) >= 2 * TOGETHER:
-                close(held[:TOGETHER])
-                held = held[TOGETHER:]
+            for t in f["t"]:
+                s, _ = shingles(t)
+                held += [s] if len(s) else []
+                size += len(s)
+                # the last group has as many documents as others, or more
+                if len(held) >= 2 * TOGETHER or size >= SHINGLES:
+                    n = min(TOGETHER, len(held))
+                    close(held[:n])
+                    held = held[n:]
+                    size = sum(map(len, held))
         if held:
             close(held)
         yield pd.DataFrame({"s": np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, np.int64)})
