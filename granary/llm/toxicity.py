@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from zlib import compress, decompress
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,9 @@ BUCKETS = 1 << BITS
 #: Bound of the labelled rows that are trained on: the confirmed toxic documents with the least seeded hash of their id. Unlabelled documents have no bound.
 SAMPLE = 4_000
 #: Unlabelled documents that a model is fitted to at once; the models of all such chunks are averaged.
-CHUNK = 4_096
+CHUNK, LEAST_CHUNK = 4_096, 1_024
+#: A chunk of long documents ends where it has so many features.
+FEATURES = 1 << 24
 EPOCHS, BATCHES, STEP, L2, SEED = 24, 8, 0.1, 1e-5, 17
 #: A feature is kept if its shares among toxic and unlabelled documents differ by Z standard errors or more, and LEAST documents have it.
 Z, LEAST = 5.0, 2
@@ -87,6 +90,17 @@ def features(text: str | None) -> np.ndarray:
     return b[np.r_[True, b[1:] != b[:-1]]] if len(b) else b
 
 
+def packed(f: np.ndarray) -> bytes:
+    """Buckets in order as compressed gaps, low bytes first."""
+    gaps = np.diff(f, prepend=np.int32(0)).astype("<u4")
+    return compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(decompress(b), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64).astype(np.int32)
+
+
 def informative(P: list[np.ndarray], U: list[np.ndarray]) -> np.ndarray:
     """Buckets of the features to keep: those that speak for toxicity, and those that speak against it."""
     if not P or not U:
@@ -209,8 +223,8 @@ def _order(df: DataFrame, id_col: str) -> Column:
     return F.xxhash64(F.lit(SEED), df[id_col].cast("string"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, label_id_col: str = "doc_id") -> tuple[Model | None, DataFrame]:
-    """The model, and the documents in the partitions that it was fitted in.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, label_id_col: str = "doc_id") -> Model | None:
+    """The model, or none where no document is confirmed as toxic.
 
     At most ``sample`` confirmed toxic documents are trained on, the bound
     counting rows; the prior is the share of toxic among the labelled. All
@@ -225,26 +239,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.select(labels[label_id_col].alias("i"), labels["toxic"].cast("int").alias("toxic")).where("i IS NOT NULL AND toxic IS NOT NULL").groupBy("i").agg(F.max("toxic").alias("toxic"))
     n = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     if not n["k"]:
-        return None, docs
+        return None
     prior = n["k"] / n["n"] if n["k"] < n["n"] else PRIOR
     d = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"))
     # the ids of the sample first, then their texts: at most ``sample`` ids go to the texts, not the texts to them
     there = d.select("i").join(marks.where("toxic = 1").select("i"), "i", "left_semi").distinct()
     chosen = there.withColumn("h", _order(there, "i")).orderBy("h", "i").limit(sample).select("i")
-    made = F.pandas_udf(lambda ts: pd.Series([features(t).astype("<i4").tobytes() for t in ts]), "binary")
+    made = F.pandas_udf(lambda ts: pd.Series([packed(features(t)) for t in ts]), "binary")
     rows = d.join(F.broadcast(chosen), "i", "left_semi").select(_order(d, "i").alias("h"), made("t").alias("f")).orderBy("h", "f").limit(sample).collect()
-    positive = [np.frombuffer(r["f"], dtype="<i4") for r in rows]
+    positive = [unpacked(r["f"]) for r in rows]
     if not positive:
-        return None, docs
+        return None
     # what fewer than LEAST of them have can't speak for toxicity
     count = np.bincount(np.concatenate(positive), minlength=BUCKETS)
     shared = spark.sparkContext.broadcast([f[count[f] >= LEAST] for f in positive])
 
     def learn(frames):
         total = [{}, {}]
-        seen, chunk = 0, []
+        held, chunk = 0, []
 
-        def close():
+        def close(chunk):
             for sums, (kept, w, b) in zip(total, fit_folds(shared.value, chunk, prior)):
                 for k, v in zip([*kept.tolist(), BIAS], [*w.tolist(), b]):
                     s = sums.setdefault(k, [0.0, 0])
@@ -254,18 +268,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for f in frames:
             for t in f["t"]:
                 chunk.append(features(t))
-                if len(chunk) == CHUNK:
-                    close()
-                    seen, chunk = seen + CHUNK, []
+                held += len(chunk[-1])
+                # the last chunk has as many documents as others, or more
+                if len(chunk) >= 2 * CHUNK or held >= FEATURES:
+                    close(chunk[:CHUNK])
+                    chunk = chunk[CHUNK:]
+                    held = sum(map(len, chunk))
         if chunk:
-            close()
+            close(chunk)
         yield pd.DataFrame([(fold, k, v, c) for fold in (0, 1) for k, (v, c) in total[fold].items()], columns=["fold", "bucket", "v", "c"])
 
-    # partitions of fewer documents than a chunk are put together
-    size = docs.count()
-    docs = docs.coalesce(max(1, size // CHUNK))
     d = docs.select(docs[text_col].cast("string").alias("t")).where("t IS NOT NULL")
-    summed = d.mapInPandas(learn, "fold int, bucket int, v double, c long").groupBy("fold", "bucket").agg(F.sum("v").alias("v"), F.sum("c").alias("c")).collect()
+    # partitions of very few documents are put together to fit to; no further than that, as documents may be long
+    summed = d.coalesce(max(1, docs.count() // LEAST_CHUNK)).mapInPandas(learn, "fold int, bucket int, v double, c long").groupBy("fold", "bucket").agg(F.sum("v").alias("v"), F.sum("c").alias("c")).collect()
     folds: list[dict[int, float]] = [{}, {}]
     docs_seen = max([r["c"] for r in summed], default=0)
     for r in sorted(summed, key=lambda r: (r["fold"], r["bucket"])):
@@ -273,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             folds[r["fold"]][r["bucket"]] = round(r["v"] / docs_seen, 9)
     model = Model(folds)
     if not summed:
-        return None, docs
+        return None
     described = model.table()
 
     def spread(frames):
@@ -286,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z, c = np.array([r["z"] for r in found]), np.array([r["c"] for r in found], dtype=np.float64)
     zp = np.array([model.margins(f)[1 - i % 2] for i, f in enumerate(positive)])
     model.cut = choose_cut(zp, z, c, prior)
-    return model, docs
+    return model
 
 
 def score_column(text: Column, model: Model) -> Column:
@@ -310,7 +325,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     is clean, at a score of -1. Repeated rows give repeated rows, an empty table
     none; columns other than the id and the text are ignored.
     """
-    model, docs = fit(docs, labels, id_col, text_col, sample, label_id_col)
+    model = fit(docs, labels, id_col, text_col, sample, label_id_col)
     score = F.lit(-1.0) if model is None else score_column(docs[text_col].cast("string"), model)
     scored = docs.select(docs[id_col].alias(id_col), score.alias("score"))
     return scored.select(id_col, F.round("score", 6).alias("score"), (F.col("score") >= 0).cast("int").alias("toxic"))
@@ -318,7 +333,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, label_id_col: str = "doc_id") -> DataFrame:
     """The documents that aren't toxic, all columns as they are."""
-    model, docs = fit(docs, labels, id_col, text_col, sample, label_id_col)
+    model = fit(docs, labels, id_col, text_col, sample, label_id_col)
     return docs if model is None else docs.where(score_column(docs[text_col].cast("string"), model) < 0)
 
 

@@ -95,7 +95,7 @@ def test_run_against_brute_force(spark, tmp_path):
     labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(160)], "doc_id long, quality int, toxic int")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    model, _ = toxicity.fit(table(spark, tmp_path, "documents"), table(spark, tmp_path, "labels"))
+    model = toxicity.fit(table(spark, tmp_path, "documents"), table(spark, tmp_path, "labels"))
     clean = [r for r in rows if model.score(r[1]) < 0]
     assert toxic.isdisjoint(r[0] for r in clean) and len(clean) == len(rows) - len(toxic)
     lines = kept_lines(clean)
