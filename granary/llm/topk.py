@@ -21,6 +21,8 @@ BLOCK = 8_192
 QUERIES = 256
 #: Entries that are first read from each list, about; doubled while some outsider may still qualify.
 DEPTH = 64
+#: Places in a block after which the objects before give floors to those that follow.
+FIRST = (512, 2_560)
 DIGITS = 6
 
 
@@ -49,7 +51,7 @@ def nra(parts: list[np.ndarray], k: int, depth: int = DEPTH, floor: np.ndarray |
     slack = 2 * 10.0**-DIGITS
     mean, end = (np.stack([f(p, axis=1) for p in parts]) for f in (np.mean, np.min))
     spread = np.sqrt(np.maximum(np.stack([np.einsum("qn,qn->q", p, p) for p in parts]) / n - mean**2, 0))
-    known = np.full(q, -np.inf) if floor is None else np.asarray(floor, dtype=np.float64)
+    known = np.full(q, -np.inf) if floor is None else np.array(floor, dtype=np.float64)
     with np.errstate(invalid="ignore", divide="ignore"):
         z = np.where(np.isfinite(known), (known - 2 * slack - mean.sum(axis=0)) / np.maximum(spread.sum(axis=0), 1e-12), np.inf)
     open_ = np.arange(q)
@@ -92,8 +94,8 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "
     a sum over parts of the vectors, and each part gives every query a sorted
     list of objects, which the no-random-access search reads from the top.
     Every row is a query, against all blocks of rows; each pair of blocks keeps
-    ``k`` rows per query at most, none below what the query has from blocks before
-    it in the same task, and a window takes the best of those. The lists of a pair
+    of a query what isn't below the k-th score that it has by then from this block
+    and those before it in the same task, and a window takes the best of those. The lists of a pair
     of blocks are made from its vectors, so all pairs are scored in halves first.
 
     Rows whose id is null, or whose vector is null, empty, zero or has a null or
@@ -129,23 +131,33 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "
                 best = floors.setdefault((key, w), np.full((len(A), k), -np.inf))
                 # the query itself may be among them, as often as its id occurs
                 own = 1 if len(ids2) < 2 else int(pd.Series(ids2).value_counts().iloc[0])
+                cuts = sorted({0, *[c for c in FIRST if c < len(B)], len(B)})
                 for at in range(0, len(A), QUERIES):
-                    Q, names = A[at : at + QUERIES], ids[at : at + QUERIES]
+                    Q, names, top = A[at : at + QUERIES], ids[at : at + QUERIES], best[at : at + QUERIES]
                     parts = [Q[:, a:b] @ B[:, a:b].T for a, b in zip(edges, edges[1:])]
-                    r, c, _ = nra(parts, min(k + own, len(B)), floor=best[at : at + QUERIES, -1])
-                    s = np.round(sum(p[r, c] for p in parts), DIGITS)
-                    good = names[r] != ids2[c]
-                    r, c, s = r[good], c[good], s[good]
-                    order = np.lexsort((ids2[c], -s, r))
-                    r, c, s = r[order], c[order], s[order]
-                    first = np.searchsorted(r, np.arange(len(Q)))
-                    place = np.arange(len(r)) - first[r]
-                    keep = place < k
-                    r, c, s, place = r[keep], c[keep], s[keep], place[keep]
-                    new = np.full((len(Q), k), -np.inf)
-                    new[r, place] = s
-                    best[at : at + QUERIES] = -np.sort(-np.concatenate([best[at : at + QUERIES], new], axis=1), axis=1)[:, :k]
-                    yield pd.DataFrame({"i": names[r], "j": ids2[c], "s": s + 0.0})
+                    rows, cols, sums = [], [], []
+                    # a few objects first, whose k-th scores are floors for the lists of the others
+                    for lo, hi in zip(cuts, cuts[1:]):
+                        some = [p[:, lo:hi] for p in parts]
+                        r, c, _ = nra(some, min(k + own, hi - lo), floor=top[:, -1])
+                        s = np.round(sum(p[r, c] for p in some), DIGITS)
+                        good = names[r] != ids2[lo + c]
+                        r, c, s = r[good], lo + c[good], s[good]
+                        order = np.lexsort((ids2[c], -s, r))
+                        r, c, s = r[order], c[order], s[order]
+                        place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(Q)))[r]
+                        keep = place < k
+                        r, c, s, place = r[keep], c[keep], s[keep], place[keep]
+                        new = np.full((len(Q), k), -np.inf)
+                        new[r, place] = s
+                        top[:] = -np.sort(-np.concatenate([top, new], axis=1), axis=1)[:, :k]
+                        rows.append(r)
+                        cols.append(c)
+                        sums.append(s)
+                    r, c, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(sums)
+                    # what has been overtaken since can't be among the best
+                    keep = s >= top[r, -1]
+                    yield pd.DataFrame({"i": names[r[keep]], "j": ids2[c[keep]], "s": s[keep] + 0.0})
 
     found = pairs.select("b", "w", "ids", "x", "ids2", "x2").mapInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "j"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from granary.llm.topk import nra, top_k
 
 
@@ -61,20 +62,23 @@ def test_search_with_floors_ties_and_few_objects():
                 kth = np.sort(total[i])[::-1][min(k, n) - 1]
                 assert set(np.flatnonzero(total[i] >= kth)) <= set(c[r == i].tolist())
             floor = np.sort(total, axis=1)[:, -min(k, n)] + rng.choice([-1.0, 0.0, 1.0], 12)
+            before = floor.copy()
             r, c, _ = nra(parts, min(k, n), 8, floor)
+            assert (floor == before).all()
             for i in range(12):
                 kth = max(floor[i], np.sort(total[i])[::-1][min(k, n) - 1])
                 assert set(np.flatnonzero(total[i] >= kth)) <= set(c[r == i].tolist())
 
 
-def test_table_beyond_one_block_reads_part_of_the_lists(spark, monkeypatch):
-    """1,500 rows in blocks of 600, with ties and a row that can't be compared: equal to brute force, though no list is read to its end."""
+@pytest.mark.parametrize("block", [600, 8192])
+def test_large_table_reads_part_of_the_lists(spark, block):
+    """1,500 rows in blocks of 600, and in one whose first rows give floors to the others, with ties and a row that can't be compared: equal to brute force, though no list is read to its end."""
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 16)).round(2)
     x[1400:] = x[:100]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, [float("nan")] * 16)]
     got = {}
-    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, block=600).collect():
+    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, block=block).collect():
         got.setdefault(r.vec_id, []).append((r.rank, r.neighbour, r.score))
     u = x / np.sqrt((x * x).sum(axis=1))[:, None]
     s = np.round(u @ u.T, 6)
