@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
+#: Rules made up by a seed beside the sixteen below, of one to five path segments.
+MADE_UP, MADE_UP_SEED = 2_000, 8
 #: (rule_id, expression, action, priority). An expression is a host suffix with a path prefix, as in a canonical URL without its scheme.
 DEFAULT_RULES = [
     (1, "example.net/", "block", 0),
@@ -26,7 +30,22 @@ DEFAULT_RULES = [
     (15, "absent.example/", "block", 5),
     (16, "thering.example.net/en/", "block", 1),
 ]
-PREFIX_HEX = 8
+
+
+def _made_up() -> list[tuple[int, str, str, int]]:
+    rng, out = random.Random(MADE_UP_SEED), {}
+    part = lambda: "".join(rng.choice(("th", "er", "in", "on", "an", "re", "ti", "ble")) for _ in range(rng.randint(1, 3)))
+    while len(out) < MADE_UP:
+        host = ".".join([part() for _ in range(rng.randint(0, 2))] + [f"example.{rng.choice(('com', 'net', 'org'))}"])
+        path = "/".join([rng.choice(("en", "de", "fr", "es")), *[str(rng.randrange(1000)) for _ in range(rng.randint(0, 4))]])
+        expression = f"{host}/{path}" + rng.choice(("", "/", f"?page={rng.randrange(9)}"))
+        # a whole language of a whole domain would leave nothing for the others to decide
+        if expression.count("/") > 2 or host.count(".") > 1:
+            out.setdefault(expression, (1000 + len(out), expression, rng.choice(("block", "block", "allow")), rng.choice((-1, 0, 0, 0, 1))))
+    return list(out.values())
+
+
+DEFAULT_RULES += _made_up()
 
 
 def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
@@ -35,6 +54,11 @@ def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS r(rule_id, expression, action, priority)")
 
 
+def prefix(digest: Column) -> Column:
+    """The first 32 bits of a digest, as a number."""
+    return F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long")
+
+
 def _authority(url: Column) -> Column:
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
     return F.regexp_extract(rest, r"^([^/?]*)", 1), F.regexp_extract(rest, r"^[^/?]*(/[^?]*)?", 1), F.regexp_extract(rest, r"^[^?]*(\?.*)?$", 1)
@@ -82,43 +106,46 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     Each distinct URL is expanded into host-suffix and path-prefix expressions,
     no deeper than the deepest rule (deeper ones can't match, so nothing is
     lost). Expressions meet the rules in an equi-join on the first 32 bits of
-    their SHA-256; the full digests then have to agree. Of the rules that
-    match, the one with the highest priority wins, then the one with more host
-    labels, the longer path, ``allow`` before ``block``, the lower rule_id.
-
-    A null or blank URL passes. Repeated pages are all returned. Null and
-    repeated rules are harmless; other columns of the inputs are ignored.
+    their SHA-256; where these agree the full digests are compared. Of the rules
+    that match, the one with the highest priority wins, then the one with more
+    host labels, the longer path, ``allow`` before ``block``, the lower rule_id.
+    URLs and rules are brought into one form first; percent escapes stay as they
+    are.
+
+    A null or blank URL passes; a URL of any length is taken whole. Repeated
+    pages are all returned, of an empty table none. Null and repeated rules are
+    harmless; other columns of the inputs are ignored.
     """
     rule = rules.select(
         F.col("rule_id").cast("long").alias("rule_id"),
-        F.col("expression").cast("string").alias("rule_expression"),
+        F.col("expression").cast("string").alias("given"),
         F.col("action").cast("string").alias("action"),
         F.coalesce(F.col("priority").cast("int"), F.lit(0)).alias("priority"),
-    ).where("rule_expression IS NOT NULL AND action IS NOT NULL")
-    rule = rule.withColumns(
-        {
-            "digest": F.sha2("rule_expression", 256),
-            "labels": F.size(F.split(F.regexp_extract("rule_expression", r"^([^/]*)", 1), r"\.")),
-            "path_length": F.length(F.regexp_extract("rule_expression", r"^[^/]*(.*)$", 1)),
-            "depth": F.size(F.filter(F.split(F.regexp_extract("rule_expression", r"^[^/]*([^?]*)", 1), "/"), lambda s: s != "")),
-        }
-    ).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
+    ).where("given IS NOT NULL AND action IS NOT NULL")
+    rule_host, rule_path, rule_query = canonical(F.col("given"))
+    rule = rule.select("rule_id", "action", "priority", rule_host.alias("host"), F.concat(rule_path, rule_query).alias("rest"), rule_path.alias("path"))
+    rule = rule.select(
+        F.unhex(F.sha2(F.concat("host", "rest"), 256)).alias("digest"),
+        F.size(F.split("host", r"\.")).alias("labels"),
+        F.size(F.filter(F.split("path", "/"), lambda s: s != "")).alias("depth"),
+        F.struct(
+            (-F.col("priority")).alias("p"), (-F.size(F.split("host", r"\."))).alias("l"), (-F.length("rest")).alias("n"), F.when(F.col("action") == "allow", 0).otherwise(1).alias("b"), F.col("rule_id").alias("r"), F.col("action").alias("a")
+        ).alias("rank"),
+    )
     bounds = rule.agg(F.coalesce(F.max("labels"), F.lit(2)).alias("max_labels"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    # of the rules with one expression the first in precedence counts; those that share a prefix stand in one row
+    listed = rule.groupBy("digest").agg(F.min("rank").alias("rank")).groupBy(prefix(F.col("digest")).alias("short")).agg(F.collect_list(F.struct("digest", "rank")).alias("rules"))
     page = pages.select(pages[id_col].alias(id_col), pages[url_col].cast("string").alias(url_col))
-    urls = page.select(F.col(url_col).alias("u")).where("u IS NOT NULL AND trim(u) != ''").distinct()
+    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of partitions that isn't lowered afterwards, as the expansion is the work
+    urls = page.select(F.col(url_col).alias("u")).where("u IS NOT NULL AND trim(u) != ''").repartition(spread, "u").distinct()
     host, path, query = canonical(F.col("u"))
     urls = urls.select("u", host.alias("h"), path.alias("p"), query.alias("q")).where("h != ''").crossJoin(bounds)
     expanded = urls.select("u", F.explode(expressions(F.col("h"), F.col("p"), F.col("q"), F.col("max_labels"), F.col("max_depth"))).alias("e"))
-    hashed = expanded.select("u", F.sha2("e", 256).alias("d")).withColumn("s", F.substring("d", 1, PREFIX_HEX))
-    order = F.struct(-F.col("priority"), -F.col("labels"), -F.col("path_length"), F.when(F.col("action") == "allow", 0).otherwise(1), F.col("rule_id"))
-    winners = (
-        hashed.join(rule, (hashed["s"] == rule["short"]) & (hashed["d"] == rule["digest"]))
-        .groupBy("u")
-        .agg(F.min_by(F.struct(F.col("action").alias("a"), F.col("rule_id").alias("r")), order).alias("w"))
-    )
-    return page.join(winners, page[url_col] == winners["u"], "left").select(
-        page[id_col], page[url_col], F.coalesce("w.a", F.lit("pass")).alias("action"), F.col("w.r").alias("rule_id")
-    )
+    hashed = expanded.select("u", F.unhex(F.sha2("e", 256)).alias("d")).withColumn("short", prefix(F.col("d")))
+    confirmed = F.filter("rules", lambda r: r["digest"] == F.col("d"))
+    winners = hashed.join(listed, "short").select("u", F.explode(confirmed).alias("m")).groupBy("u").agg(F.min("m.rank").alias("w"))
+    return page.join(winners, page[url_col] == winners["u"], "left").select(page[id_col], page[url_col], F.coalesce("w.a", F.lit("pass")).alias("action"), F.col("w.r").alias("rule_id"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,19 @@ def test_empty_tables(spark):
 def test_canonical_form(spark):
     h, p, q = canonical(F.lit("HTTP://a@B..C./d/./e/../f/?q#z"))
     assert tuple(spark.range(1).select(h, p, q).first()) == ("b.c", "/d/f/", "?q")
+
+
+def test_rules_are_brought_into_the_same_form(spark):
+    made = rules_frame(spark, [(1, "https://user@Example.NET.:8080/a/./b/../c/", "block", 0), (2, "other.org", "block", 0)])
+    pages = spark.createDataFrame([(1, "http://www.example.net/a/c/d"), (2, "http://example.net/a/b/c/"), (3, "https://OTHER.org/any")], "page_id long, url string")
+    assert {r.page_id: r.action for r in url_filter(pages, made).collect()} == {1: "block", 2: "pass", 3: "block"}
+
+
+def test_prefixes_alone_do_not_decide(spark, monkeypatch):
+    """With every digest sharing one prefix the outcome is the same."""
+    from granary.llm import url_filter as U
+
+    pages = spark.createDataFrame(list(enumerate(CASES)), "page_id long, url string")
+    want = sorted(map(tuple, url_filter(pages, rules(spark)).collect()), key=str)
+    monkeypatch.setattr(U, "prefix", lambda digest: F.length(digest) * 0)
+    assert sorted(map(tuple, url_filter(pages, rules(spark)).collect()), key=str) == want
