@@ -139,3 +139,41 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.v: r.label for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for v in parent}
+
+
+def short_texts(n=70):
+    """Texts of three to five words that begin alike: many meet, few are alike."""
+    rng = random.Random(6)
+    words = vocabulary(rng, 60)
+    return [(i, " ".join(["begin", "here", *(rng.choice(words) for _ in range(rng.randint(1, 3)))])) for i in range(n)]
+
+
+def test_texts_that_meet_and_differ_are_not_measured_in_pairs(monkeypatch):
+    texts = sorted({t for _, t in short_texts()})
+    made, told = [N.shingles(t) for t in texts], [bigrams(t) for t in texts]
+    idf, plain = N.Frequencies(len(texts), np.zeros(0, np.uint32), np.zeros(0)), lambda s: 1.0
+    every, calls, real = np.arange(len(texts)), [], N.weighted_jaccard
+    monkeypatch.setattr(N, "weighted_jaccard", lambda *x: calls.append(1) or real(*x))
+
+    def joined(links):
+        label = list(range(len(texts)))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+    want = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similarity(told[a], told[b], plain) >= N.THRESHOLD]
+    got = N.similar(made, every, every, every, idf, N.THRESHOLD)
+    assert set(map(lambda x: tuple(sorted(x)), got)) <= set(want) and joined(got) == joined(want) and len(joined(want)) > 10
+    assert len(calls) < len(texts) < len(texts) ** 2 / 20
+
+
+def test_buckets_in_blocks_give_what_whole_buckets_give(spark, monkeypatch):
+    rows = short_texts(150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = []
+    for size in (N.BUCKET, 3):
+        monkeypatch.setattr(N, "BUCKET", size)
+        found.append({r.doc_id: r.kept_doc_id for r in N.near_duplicates(df).collect()})
+    want = brute(rows)
+    assert found[0] == found[1] and len(want) > 10
+    assert not set(found[0]) - set(want) and len(found[0]) >= 0.9 * len(want)
