@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 from granary.llm import near_dedup as N
+from pyspark.sql import functions as F
 
 
 def vocabulary(rng, n):
@@ -177,3 +178,57 @@ def test_buckets_in_blocks_give_what_whole_buckets_give(spark, monkeypatch):
     want = brute(rows)
     assert found[0] == found[1] and len(want) > 10
     assert not set(found[0]) - set(want) and len(found[0]) >= 0.9 * len(want)
+
+
+def test_texts_read_together_have_the_shingles_of_texts_read_alone(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("aB1 \n\t.\x00ΣİΑ日𐐷́") for _ in range(rng.randrange(60))) for _ in range(200)] + [None, "", "word", "?", "ΑΣ", "Σ"]
+    for characters in (1, 300, N.CHARACTERS):
+        monkeypatch.setattr(N, "CHARACTERS", characters)
+        got = list(N.shingles_of(texts))
+        assert len(got) == len(texts)
+        for t, (s, c) in zip(texts, got):
+            want = bigrams(t)
+            assert len(s) == len(want) and sorted(c.tolist()) == sorted(want.values())
+            alone = N.shingles(t)
+            assert alone[0].tolist() == s.tolist() and alone[1].tolist() == c.tolist()
+            again = N.unblob(N.blob(s, c))
+            assert again[0].tolist() == s.tolist() and again[1].tolist() == c.tolist()
+
+
+def test_few_shingles_are_looked_at_and_none_is_missed(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 5_000, 300, 1, *rng.integers(1, 600, 60).tolist()]
+    texts = [np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32)) for n in sizes]
+    s, start = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    w = rng.lognormal(1, 1.5, len(s))
+    looked, real = [], N.chances
+    monkeypatch.setattr(N, "chances", lambda s, *x: looked.append(len(s)) or real(s, *x))
+    got = N.samples_of(s, w, start)
+    assert sum(looked) < 0.25 * len(s) * N.BANDS * N.ROWS
+
+    def each(i, j):
+        """Each draw from all shingles, without any bound."""
+        first, found = N.firsts(s[i:j], N.draws()[3]), []
+        for k in range(N.BANDS * N.ROWS):
+            t, a = real(s[i:j], np.log(w[i:j]).astype(np.float32), np.full(j - i, k), first[:, k])
+            at = a.argmin()
+            found.append(int(N._mix(np.array([(int(s[i + at]) * N._ODD + int(t[at])) % (1 << 64)], dtype=np.uint64))[0]))
+        return found
+
+    for n, (i, j) in enumerate(itertools.pairwise(start.tolist())):
+        assert got[n].tolist() == each(i, j) == N.samples(s[i:j], w[i:j]).tolist()
+
+
+def test_a_text_is_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(t):
+        reads.add(1)
+        return t
+
+    rows = [(i, f"a text of some words that number {i % 4} tells once more") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.withColumn("text", F.udf(read, "string").asNondeterministic()("text"))
+    assert N.near_duplicates(df).count() >= 8
+    assert reads.value == len(rows)
