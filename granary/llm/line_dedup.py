@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, ROW, checkpointed, packed, row_key, rows_of, table
+from .common import KEY, ROW, checkpointed, packed, released, row_key, rows_of, table
 
 #: Most edits between two lines that count as repeated. OP3_SQL sets it to one; the pipeline takes PIPELINE_EDITS.
 MOST_EDITS = 1
@@ -249,11 +249,11 @@ def matches_within(docs: DataFrame, id_col: str, text_col: str, most_edits: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parities(batch.column(2).to_pylist()))], names=["h1", "h2", "bits"])
 
     alike = Window.partitionBy(F.shiftright("key", 1))
-    keyed = lines.where(F.length("t") >= chars_per_edit).select("h1", "t").mapInArrow(keys, "h1 long, key long")
+    keyed = lines.where(F.length("t") >= chars_per_edit).select("h1", "t").mapInArrow(released(keys), "h1 long, key long")
     keyed = keyed.withColumns({"c": F.count("*").over(alike), "own": F.max(F.col("key").bitwiseAND(1)).over(alike)}).where("c > 1 AND own = 1")
     every = _candidates(lines, keyed)
     near = every.where("keys IS NOT NULL")
-    bits = near.select("h1", "h2", "t").mapInArrow(sketched, "h1 long, h2 long, bits long")
+    bits = near.select("h1", "h2", "t").mapInArrow(released(sketched), "h1 long, h2 long, bits long")
     # a place is a segment of a text of n characters: one's own, or what it may be for a text shorter by up to ``most_edits``
     placed = near.select("h1", "h2", "o", F.length("t").alias("m"), F.explode("keys").alias("key"))
     placed = placed.select("h1", "h2", "o", "m", F.shiftright("key", 1).alias("key"), (F.col("key").bitwiseAND(1) == 1).alias("own"), F.explode(F.sequence(F.col("m") - most_edits, F.col("m"))).alias("n"))

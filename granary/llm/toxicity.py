@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from zlib import compress, decompress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, released, rows_of, table
 
 #: Hashed features.
 BITS = 20
@@ -30,6 +32,8 @@ PRIOR = 0.1
 BIAS, CUT = -1, -2
 #: Characters whose features are made together, to the next character that isn't a letter.
 PART = 1 << 20
+#: Texts that Python takes from an Arrow batch at once.
+WIDTH = 256
 
 _OTHER = re.compile(r"[\W\d_]")
 _letters: list[np.ndarray] = []
@@ -105,15 +109,21 @@ def informative(P: list[np.ndarray], U: list[np.ndarray]) -> np.ndarray:
     """Buckets of the features to keep: those that speak for toxicity, and those that speak against it."""
     if not P or not U:
         return np.zeros(0, dtype=np.int64)
-    nP = np.bincount(np.concatenate(P), minlength=BUCKETS)
-    nU = np.bincount(np.concatenate(U), minlength=BUCKETS)
+    counts = []
+    for docs in (P, U):
+        n = np.zeros(BUCKETS, dtype=np.int32)
+        for f in docs:  # document by document, as all in one array are large; each has a feature once
+            n[f] += 1
+        counts.append(n)
+    some = np.flatnonzero((counts[0] >= LEAST) | (counts[1] >= LEAST))
+    nP, nU = (n[some].astype(np.int64) for n in counts)
     p, u, both = nP / len(P), nU / len(U), (nP + nU) / (len(P) + len(U))
     error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / len(P) + 1 / len(U)))
-    return np.flatnonzero((np.abs(p - u) >= Z * error) & (np.where(p > u, nP, nU) >= LEAST))
+    return some[(np.abs(p - u) >= Z * error) & (np.where(p > u, nP, nU) >= LEAST)]
 
 
 def _csr(docs: list[np.ndarray], kept: np.ndarray) -> list[np.ndarray]:
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     out = []
     for f in docs:
@@ -254,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     count = np.bincount(np.concatenate(positive), minlength=BUCKETS)
     shared = spark.sparkContext.broadcast([f[count[f] >= LEAST] for f in positive])
 
-    def learn(frames):
+    def learn(batches):
         total = [{}, {}]
         held, chunk = 0, []
 
@@ -265,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     s[0] += v * len(chunk)
                     s[1] += len(chunk)
 
-        for f in frames:
-            for t in f["t"]:
+        for f in rows_of(batches, WIDTH):
+            for t in f.column("t").to_pylist():
                 chunk.append(features(t))
                 held += len(chunk[-1])
                 # the last chunk has as many documents as others, or more
@@ -276,11 +286,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     held = sum(map(len, chunk))
         if chunk:
             close(chunk)
-        yield pd.DataFrame([(fold, k, v, c) for fold in (0, 1) for k, (v, c) in total[fold].items()], columns=["fold", "bucket", "v", "c"])
+        rows = [(fold, k, v, c) for fold in (0, 1) for k, (v, c) in total[fold].items()]
+        fold, bucket, v, c = zip(*rows) if rows else ((),) * 4
+        yield pa.record_batch({"fold": pa.array(fold, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "v": pa.array(v, pa.float64()), "c": pa.array(c, pa.int64())})
 
     d = docs.select(docs[text_col].cast("string").alias("t")).where("t IS NOT NULL")
     # partitions of very few documents are put together to fit to; no further than that, as documents may be long
-    summed = d.coalesce(max(1, docs.count() // LEAST_CHUNK)).mapInPandas(learn, "fold int, bucket int, v double, c long").groupBy("fold", "bucket").agg(F.sum("v").alias("v"), F.sum("c").alias("c")).collect()
+    summed = d.coalesce(max(1, docs.count() // LEAST_CHUNK)).mapInArrow(released(learn), "fold int, bucket int, v double, c long").groupBy("fold", "bucket").agg(F.sum("v").alias("v"), F.sum("c").alias("c")).collect()
     folds: list[dict[int, float]] = [{}, {}]
     docs_seen = max([r["c"] for r in summed], default=0)
     for r in sorted(summed, key=lambda r: (r["fold"], r["bucket"])):
@@ -291,13 +303,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     described = model.table()
 
-    def spread(frames):
+    def spread(batches):
         m = Model(described)
-        for f in frames:
-            z, c = np.unique(np.round([x for t in f["t"] for x in m.margins(features(t))], 3), return_counts=True)
-            yield pd.DataFrame({"z": z, "c": c})
+        for f in rows_of(batches, WIDTH):
+            z, c = np.unique(np.round([x for t in f.column("t").to_pylist() for x in m.margins(features(t))], 3), return_counts=True)
+            yield pa.record_batch({"z": z, "c": c})
 
-    found = d.mapInPandas(spread, "z double, c long").groupBy("z").agg(F.sum("c").alias("c")).collect()
+    found = d.mapInArrow(released(spread), "z double, c long").groupBy("z").agg(F.sum("c").alias("c")).collect()
     z, c = np.array([r["z"] for r in found]), np.array([r["c"] for r in found], dtype=np.float64)
     zp = np.array([model.margins(f)[1 - i % 2] for i, f in enumerate(positive)])
     model.cut = choose_cut(zp, z, c, prior)
@@ -305,13 +317,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_column(text: Column, model: Model) -> Column:
-    folds, cut, made = model.table(), model.cut, []
-
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Model(folds, cut))
-        return pd.Series([made[0].score(t) for t in texts], dtype="float64")
+    folds, cut = model.table(), model.cut
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            m = Model(folds, cut)
+            for texts in batches:
+                yield pa.array([m.score(t) for at in range(0, len(texts), WIDTH) for t in texts.slice(at, WIDTH).to_pylist()], pa.float64())
+            del m
+        finally:
+            give_back()
 
     return run(text)
 
