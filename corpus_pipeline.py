@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import line_dedup, mixing, near_dedup, sentencepiece_fst, toxicity
-from granary.llm.common import checkpoint_dir, table
+from granary.llm.common import forget, new_folder, table
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,18 +48,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table. Each stage's result is written to the shared folder and read again, which also cuts its lineage; what the next stage has been made from is then deleted. An empty table gives an empty result, and columns besides those of documents go through to the mixing stage."""
     docs = table(spark, sf_dir, "documents")
-    where = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    where = new_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
         docs = spark.read.parquet(f"{where}/{k}")
         if k:
-            _forget(spark, f"{where}/{k - 1}")
+            forget(spark, f"{where}/{k - 1}")
     return docs
