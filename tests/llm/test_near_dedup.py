@@ -232,3 +232,12 @@ def test_a_text_is_read_once(spark):
     df = df.withColumn("text", F.udf(read, "string").asNondeterministic()("text"))
     assert N.near_duplicates(df).count() >= 8
     assert reads.value == len(rows)
+
+
+def test_components_forget_estimated_sizes(spark):
+    """Estimates that rounds of joins multiply by one another filled the driver's memory at 6 GB."""
+    path = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    labels = N.components(path)
+    again = N.components(path.join(labels, F.col("a") == F.col("v")).select("label", "b").withColumnRenamed("label", "a"))
+    assert {r["label"] for r in again.collect()} == {0} and again.count() == 41
+    assert again._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
