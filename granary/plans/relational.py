@@ -92,7 +92,12 @@ SELECT s_suppkey, count(DISTINCT c_custkey) AS candidates, CASE WHEN count(DISTI
 def candidate_resolution(t: Tables) -> DataFrame:
     """A note is resolved if its candidates name one sequence alone."""
     c = t.customer.where("c_acctbal > 9000 AND c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("s_nationkey"), "c_custkey")
-    g = t.supplier.join(c, "s_nationkey", "left").groupBy("s_suppkey").agg(F.count_distinct("c_custkey").alias("candidates"), F.max("c_custkey").alias("m"))
+    # notes with the same nations have the same candidates, so these are counted once for each set of nations, never paired with each note
+    nations = F.sort_array(F.collect_set(F.when(F.col("s_suppkey").isNotNull(), F.col("s_nationkey"))))
+    notes = t.supplier.groupBy("s_suppkey").agg(nations.alias("nations"))
+    asked = notes.select("nations").distinct().select("nations", F.explode("nations").alias("s_nationkey"))
+    found = asked.join(c, "s_nationkey").groupBy("nations").agg(F.count_distinct("c_custkey").alias("n"), F.max("c_custkey").alias("m"))
+    g = notes.join(found, "nations", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).cast("long").alias("candidates"), "m")
     one = F.col("candidates") == 1
     return g.select("s_suppkey", "candidates", F.when(one, "included").otherwise("unresolved").alias("decision"), F.when(one, F.col("m")).alias("resolved"))
 

@@ -163,3 +163,19 @@ def test_rounded_indices(spark):
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [(1, None)], "g int, v double")
     got = {r.g: (r.half, r.most) for r in rounded_indices(df, ["g"], "v", {"half": 0.5, "most": 0.95}).collect()}
     assert got == {g: (sorted(vs)[round((len(vs) - 1) * 0.5)], sorted(vs)[round((len(vs) - 1) * 0.95)]) for g, vs in groups.items()}
+
+
+def test_candidates_are_counted_by_sets_of_nations(spark, tmp_path):
+    """Suppliers of several nations, of none and without a key, as the SQL has them; a supplier is never paired with a customer."""
+    import __spark_entry__
+    import duckdb
+
+    spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 9), (4, None), (None, 1), (5, 2)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = [(k, k % 3, 9500.0, "BUILDING") for k in range(10)] + [(4, 2, 9500.0, "BUILDING"), (20, 9, 9500.0, "BUILDING"), (21, 9, 10.0, "BUILDING")]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    db = duckdb.connect()
+    for t in ("supplier", "customer"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = __spark_entry__.queries()["candidate_resolution"](spark, str(tmp_path))
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(got.collect()) == order(db.execute(__spark_entry__.oracle_sql()["candidate_resolution"]).fetchall())
