@@ -99,3 +99,8 @@ def pages(df: DataFrame, size: int, *order: Column) -> DataFrame:
     """Adds ``page`` from 1 and ``place`` on it from 0 by a total order."""
     placed = numbered(df, "__k", *order)
     return placed.select(*df.columns, (F.expr(f"__k div {size}") + 1).alias("page"), (F.col("__k") % size).alias("place"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by hashes of the keys, before work that is large beside their bytes: files are cut by bytes and row groups, so that a small table of many rows would be one task's work. Adaptive execution decides on the number of tasks."""
+    return df.repartition(*keys)

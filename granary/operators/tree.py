@@ -6,6 +6,7 @@ import json
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,26 +29,37 @@ _NODE = [
 ]
 
 
+_ARROW = {
+    T.IntegerType(): pa.int32(),
+    T.StringType(): pa.string(),
+    T.ArrayType(T.StringType()): pa.list_(pa.string()),
+    T.MapType(T.StringType(), T.StringType()): pa.map_(pa.string(), pa.string()),
+}
+
+
 def _exploded(df: DataFrame, id_col: str, body: str, fields: list, make) -> DataFrame:
     picked = df.select(id_col, F.col(body).alias("body")).where("body IS NOT NULL")
     schema = T.StructType([picked.schema[0], *[T.StructField(n, t) for n, t in fields]])
+    kinds = [_ARROW[t] for _, t in fields]
 
-    def run(frames):
-        for f in frames:
-            for at in range(0, len(f), 200):
-                part = f.iloc[at : at + 200]
-                rows = [(i, *r) for i, b in zip(part.iloc[:, 0], part["body"]) for r in make(b)]
-                yield pd.DataFrame(rows, columns=schema.names).astype({k: "Int32" for k, t in fields if isinstance(t, T.IntegerType)})
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                made = [list(make(b)) for b in part.column(1).to_pylist()]
+                owner = pa.array([i for i, rows in enumerate(made) for _ in rows], pa.int32())
+                columns = list(zip(*[r for rows in made for r in rows])) or [()] * len(kinds)
+                yield pa.record_batch([part.column(0).take(owner), *map(pa.array, columns, kinds)], names=schema.names)
 
-    return picked.mapInPandas(run, schema)
+    return picked.mapInArrow(run, schema)
 
 
 def node_table(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """All nodes of each JSON text, one parse per text. Texts that aren't JSON are an error; nulls have no nodes."""
 
     def make(body):
-        for n in J.nodes(json.loads(body)):
-            yield n.no, n.parent, n.depth, n.pointer, n.key, n.kind, n.text, n.tag, list(n.selectors), n.selectors[-1] if n.selectors else None, n.lang, n.data
+        for *place, selectors, lang, data in J.walked(json.loads(body)):
+            yield *place, selectors, selectors[-1] if selectors else None, lang, list(data.items())
 
     return _exploded(df, id_col, json_col, _NODE, make)
 
@@ -65,16 +77,14 @@ def leaves(nodes: DataFrame, id_col: str) -> DataFrame:
 
 
 def features(nodes: DataFrame) -> DataFrame:
-    """(kind, name, n): how often each tag, selector, data key and setting occurs."""
-    def count(kind, rows):
-        return rows.groupBy("name").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-
-    return (
-        count("tag", nodes.where("tag IS NOT NULL").select(F.col("tag").alias("name")))
-        .union(count("selector", nodes.where("kind = 'object' AND selector IS NOT NULL").select(F.element_at("selectors", -1).alias("name"))))
-        .union(count("data", nodes.select(F.explode(F.map_keys("data")).alias("name"))))
-        .union(count("kind", nodes.select(F.col("kind").alias("name"))))
-    )
+    """(kind, name, n): how often each tag, selector, data key and setting occurs. The nodes are gone through once."""
+
+    def pair(kind, name):
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+    own = F.array(pair("tag", F.col("tag")), pair("selector", F.when(F.col("kind") == "object", F.col("selector"))), pair("kind", F.col("kind")))
+    data = F.transform(F.coalesce(F.map_keys("data"), F.array().cast("array<string>")), lambda k: pair("data", k))
+    return nodes.select(F.inline(F.concat(own, data))).where("name IS NOT NULL").groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
 class _Elements(HTMLParser):

@@ -289,14 +289,14 @@ SELECT a.event_id, CAST(a.node_no AS INTEGER) AS node_no, CAST(b.node_no AS INTE
 FROM k a LEFT JOIN k b ON a.event_id = b.event_id AND a.parent = b.id
 """)
 def tree_nodes(t: Tables) -> DataFrame:
-    return tree.node_table(t.events.select("event_id", "props"), "event_id", "props").select("event_id", "node_no", "parent_no", "depth", "pointer", "kind", "text")
+    return tree.node_table(R.spread(t.events.select("event_id", "props"), "event_id"), "event_id", "props").select("event_id", "node_no", "parent_no", "depth", "pointer", "kind", "text")
 
 
 @query("""
 WITH p AS (SELECT event_id, unnest(json_keys(props)) AS k FROM events) SELECT k AS key, count(*) AS n FROM p GROUP BY 1
 """)
 def tree_keys(t: Tables) -> DataFrame:
-    n = tree.node_table(t.events.select("event_id", "props"), "event_id", "props")
+    n = tree.node_table(R.spread(t.events.select("event_id", "props"), "event_id"), "event_id", "props")
     return n.where("depth = 1 AND key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -431,7 +431,8 @@ def _leaf_trees(t: Tables) -> DataFrame:
     parts = [F.to_json(x) for x in (link, s(tag="br"), s(tag="ul", content=F.array(item)))]
     inside = F.concat(F.lit("["), F.concat_ws(",", *parts, F.col("p_size").cast("string")), F.lit("]"))
     whole = F.concat(F.expr("substr(head, 1, length(head) - 1)"), F.lit(',"content":'), F.col("inside"), F.lit("}"))
-    return t.part.select("p_partkey", F.to_json(box).alias("head"), inside.alias("inside")).select("p_partkey", whole.alias("tree"))
+    part = R.spread(t.part.select("p_partkey", "p_brand", "p_type", "p_name", "p_size"), "p_partkey", "p_name")
+    return part.select("p_partkey", F.to_json(box).alias("head"), inside.alias("inside")).select("p_partkey", whole.alias("tree"))
 
 
 _NAME = "trim(regexp_replace(p_type, '[^A-Za-z0-9_-]+', '-', 'g'), '-')"
@@ -512,4 +513,5 @@ SELECT p_partkey, 0 AS ordinal, '/0/content/0/content' AS pointer, 'glossary' AS
 def translatable_units(t: Tables) -> DataFrame:
     """The leaves to be translated, with role, digest and size; attributions aren't among them."""
     body = F.concat(F.lit('[{"tag":"ul","data":{"content":"glossary"},"content":[{"tag":"li","content":"'), "p_name", F.lit('"},{"tag":"li","content":"'), "p_type", F.lit('"}]},{"tag":"span","data":{"content":"attribution"},"content":"'), "p_brand", F.lit('"}]'))
-    return tree.unit_table(t.part.select("p_partkey", body.alias("body")), "p_partkey", "body")
+    part = R.spread(t.part.select("p_partkey", "p_name", "p_type", "p_brand"), "p_partkey", "p_name")
+    return tree.unit_table(part.select("p_partkey", body.alias("body")), "p_partkey", "body")

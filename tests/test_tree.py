@@ -91,3 +91,20 @@ def test_html_elements(spark):
     df = spark.createDataFrame([(1, "<html><body><p class=a>x<br>y<a href='u'>z</a></p><p>open</body></html>"), (2, ""), (3, None)], "id long, html string")
     rows = sorted(tree.html_elements(df, "id", "html").collect(), key=lambda r: r.node_no)
     assert [r.tag for r in rows] == ["html", "body", "p", "br", "a", "p"] and rows[2].text == "xy" and rows[4].link == "u" and rows[4].parent_no == 2
+
+
+def test_features_go_through_the_nodes_once(spark):
+    d = spark.createDataFrame([(1, '{"tag":"p","data":{"content":"x"},"content":["a",null]}')], "i long, b string")
+    f = tree.features(tree.node_table(d, "i", "b"))
+    assert sorted(map(tuple, f.collect()))[:2] == [("data", "content", 1), ("kind", "array", 1)]
+    assert f._jdf.queryExecution().optimizedPlan().toString().count("mapIn") + f._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 1
+
+
+def test_trees_of_a_small_table_are_spread(spark):
+    """Twenty thousand trees' parts are 180 KB in one row group, one task's work for Python."""
+    import __spark_entry__
+    from tests.conftest import DATA
+
+    for name in ("tree_leaves", "tree_feature_counts", "mdict_markup", "apple_markup", "index_and_page_markup", "translatable_units"):
+        plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan, name
