@@ -5,8 +5,9 @@ from __future__ import annotations
 import html
 import struct
 import zipfile
+import zlib
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -183,13 +184,33 @@ def safe(path: str) -> PurePosixPath:
     return p
 
 
+def deflated(data: bytes) -> tuple[int, int, bytes]:
+    """Checksum, size and compressed bytes of a member, as ``archive`` would have them."""
+    z = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return zlib.crc32(data), len(data), z.compress(data) + z.flush()
+
+
 def archive(path: str, members: Mapping[str, bytes]) -> None:
     """A ZIP whose bytes follow from its members alone: names sorted, one time for all."""
+    archive_deflated(path, ((name, *deflated(members[name])) for name in sorted(members)))
+
+
+def archive_deflated(path: str, members: Iterable[tuple[str, int, int, bytes]]) -> None:
+    """The same from (name, checksum, size, compressed bytes) in order of their names, one after another."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
-        for name in sorted(members):
+        last = ""
+        for name, crc, size, data in members:
+            if name <= last:
+                raise ValueError(f"{name} isn't after {last}")
+            last = name
             info = zipfile.ZipInfo(str(safe(name)), EPOCH)
             info.compress_type, info.external_attr = zipfile.ZIP_DEFLATED, 0o644 << 16
-            z.writestr(info, members[name])
+            info.CRC, info.file_size, info.compress_size, info.header_offset = crc, size, len(data), z.fp.tell()
+            z.fp.write(info.FileHeader(zip64=False))
+            z.fp.write(data)
+            z.filelist.append(info)
+            z.NameToInfo[info.filename] = info
+            z.start_dir, z._didModify = z.fp.tell(), True
 
 
 def member_issues(path: str, required: set[str]) -> list[str]:

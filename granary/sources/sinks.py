@@ -8,7 +8,9 @@ import json
 import os
 import tomllib
 from collections.abc import Mapping
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +69,30 @@ def chunked_json(df: DataFrame, body: str, order: list[str], max_bytes: int = 4
 
 
 def write_archive(path: str, bodies: Mapping[str, DataFrame], extra: Mapping[str, bytes] | None = None) -> str:
-    """A reproducible ZIP of chunked banks (``name_N.json``) and extra members; its digest."""
-    members = dict(extra or {})
-    for name, df in bodies.items():
-        for r in df.orderBy("chunk").toLocalIterator():
-            members[f"{name}_{r['chunk']}.json"] = r["body"].encode()
-    export.archive(path, members)
+    """A reproducible ZIP of chunked banks (``name_N.json``) and extra members; its digest. Members are compressed where they are; the driver gets their compressed bytes one after another and holds none of them."""
+
+    def compress(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                name, body = (c.to_pylist()[0] for c in batch.slice(at, 1).columns)
+                yield pa.record_batch([pa.array([x]) for x in (name, *export.deflated(body.encode()))], names=["name", "crc", "size", "data"])
+
+    def banks():
+        named = [df.select(F.concat(F.lit(f"{name}_"), F.col("chunk").cast("string"), F.lit(".json")).alias("name"), "body") for name, df in bodies.items()]
+        if named:
+            for r in reduce(DataFrame.union, named).orderBy("name").mapInArrow(compress, "name string, crc long, size long, data binary").toLocalIterator():
+                yield r["name"], r["crc"], r["size"], bytes(r["data"])
+
+    def members():
+        rest = [(name, *export.deflated(data)) for name, data in sorted((extra or {}).items())]
+        for bank in banks():
+            while rest and rest[0][0] <= bank[0]:
+                if (one := rest.pop(0))[0] < bank[0]:
+                    yield one
+            yield bank
+        yield from rest
+
+    export.archive_deflated(path, members())
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
 

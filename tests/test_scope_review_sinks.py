@@ -88,3 +88,28 @@ def test_files(spark, tmp_path, monkeypatch):
     assert sinks.file_manifest(spark, str(tmp_path / "sd")).count() == 4
     sinks.copy_tables({"t": spark.range(2)}, str(tmp_path / "copy"))
     assert spark.read.parquet(str(tmp_path / "copy/t")).count() == 2
+
+
+def test_the_driver_gets_an_archive_compressed(spark, tmp_path, monkeypatch):
+    """The bytes are those of an archive whose members are compressed one by one; no member comes to the driver as it is."""
+    from granary.operators import export
+    from pyspark.sql import DataFrame
+
+    bodies = {f"term_bank_{k}.json": '["' + f"{k}é" * 2_000 + '"]' for k in range(1, 13)}
+    df = spark.createDataFrame([(int(n[10:-5]), b) for n, b in bodies.items()], "chunk long, body string").repartition(3)
+    got = []
+    for cls in {DataFrame, type(df)}:
+        monkeypatch.setattr(cls, "toLocalIterator", lambda self, *a, __f=cls.toLocalIterator, **k: (got.append(r) or r for r in __f(self, *a, **k)))
+    sinks.write_archive(str(tmp_path / "a.zip"), {"term_bank": df}, {"index.json": b"{}", "z.json": b"[]"})
+    export.archive(str(tmp_path / "b.zip"), {"index.json": b"{}", "z.json": b"[]"} | {n: b.encode() for n, b in bodies.items()})
+    assert (tmp_path / "a.zip").read_bytes() == (tmp_path / "b.zip").read_bytes()
+    assert len(got) == 12 and "body" not in got[0].asDict() and sum(len(r["data"]) for r in got) < 12 * 200
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip") as z, zipfile.ZipFile(tmp_path / "c.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=9) as old:
+        assert z.testzip() is None
+        for name in z.namelist():
+            info = zipfile.ZipInfo(name, export.EPOCH)
+            info.compress_type, info.external_attr = zipfile.ZIP_DEFLATED, 0o644 << 16
+            old.writestr(info, z.read(name))
+    assert (tmp_path / "a.zip").read_bytes() == (tmp_path / "c.zip").read_bytes()
